@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import chat
-from factloom.llm.common import table
+from factloom.llm import chat, langid
+from factloom.llm.common import arrow_batches, table
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_batches(spark, 1000)
+    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +19,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_language_id": op7_language_id,
     "op10_chat_format": op10_chat_format,
 }
 
