@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import chat, langid, neardup
+from factloom.llm import chat, decontaminate, langid, neardup
 from factloom.llm.common import arrow_batches, table
 
 
@@ -18,6 +19,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_batches(spark, 1000)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.judged(decontaminate.with_spans(docs, table(spark, sf_dir, "benchmark")))
+    return found.select(
+        "doc_id", F.col(decontaminate.N_WORDS).alias("n_words"), "n_hit", "n_items", "items_sha256", "contaminated"
+    )
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.with_probe(spark, table(spark, sf_dir, "conversations"))
     return chat.digest(chat.read_back(chat.format_conversations(chat.conversation_events(rows))))
@@ -26,10 +36,35 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
     "op7_language_id": op7_language_id,
+    "op9_decontaminate": op9_decontaminate,
     "op10_chat_format": op10_chat_format,
 }
 
 ORACLE_SQL = {
+    "op9_decontaminate": r"""
+WITH doc_words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), item_words AS (
+  SELECT item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS k, array_to_string(w[i:i + 12], ' ') AS x
+  FROM item_words, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS p(i) WHERE len(w) > 0
+), grams AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS x
+  FROM doc_words, (SELECT DISTINCT k FROM windows), unnest(range(1, len(w) - k + 2)) AS p(i)
+), found AS (SELECT doc_id, item_id, i, k FROM grams JOIN windows USING (k, x)),
+hits AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit FROM found, unnest(range(i, i + k)) AS q(j) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc_words d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
     "op3_near_duplicates": r"""
 WITH RECURSIVE worded AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
