@@ -103,26 +103,27 @@ def summary(shingles: np.ndarray) -> np.ndarray:
     return (mixed(least) >> np.uint64(32)).astype(np.uint32)
 
 
-SETS = "doc_id long, n_shingles long, print binary, tokens binary"
+SETS = "doc_id long, text_key long, n_shingles long, print binary, tokens binary"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in batches:
         sizes, prints, tokens = [], [], []
-        for text in batch.column(1):
+        for text in batch.column(2):
             found = shingler(text.as_py())
             sizes.append(len(found))
             prints.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
             tokens.append(summary(found).tobytes() if len(found) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(tokens, pa.binary())],
-            names=["doc_id", "n_shingles", "print", "tokens"],
+            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(tokens, pa.binary())],
+            names=["doc_id", "text_key", "n_shingles", "print", "tokens"],
         )
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sets, SETS)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(_sets, SETS)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -326,7 +327,7 @@ def confirmed_links(candidates: DataFrame, nodes: DataFrame, docs: DataFrame) ->
 
 
 def label_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
+    """doc_id, text_key, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
     sets = written(document_sets(docs), "sets")
     nodes = written(
         sets.where("n_shingles > 0 and doc_id is not null")
@@ -342,8 +343,17 @@ def label_documents(docs: DataFrame) -> DataFrame:
         .join(classes, "print", "left")
         .select(
             "doc_id",
+            "text_key",
             "n_shingles",
             F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull()))
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept; rows that repeat an id and its text are one."""
+    key = "neardup__key"
+    dropped = label_documents(docs).where(~F.col("kept")).select("doc_id", F.col("text_key").alias(key)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    return keyed.join(dropped, ["doc_id", key], "left_anti").dropDuplicates(["doc_id", key]).drop(key)

@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, decontaminate, langid, neardup
+from factloom.llm import chat, decontaminate, langid, neardup, spm
 from factloom.llm.common import arrow_batches, table
 
 
+#: Place of the tokenizer model; a parameter, never part of the repository.
+MODEL_PATH = os.environ.get("FACTLOOM_SPM_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_batches(spark, 1000)
-    return neardup.label_documents(table(spark, sf_dir, "documents"))
+    return neardup.label_documents(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_batches(spark, 1000)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = spm.with_tokens(docs, spm.read_model(MODEL_PATH), with_ids=False)
+    return found.select("doc_id", *(F.col(spm.TOKENS)[x].alias(x) for x in ("n_tokens", "ids_sha256", "decodes")))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +48,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat_format": op10_chat_format,
