@@ -6,8 +6,9 @@ link joins two documents whose sets have a Jaccard similarity of at least 3/4.
 1. Equal sets are one node each (a grouped minimum), so copies cost nothing more.
 2. Each set is summarised by ``WIDTH`` minwise tokens. ``TREES`` independent
    trees branch the sets by a minwise token. A node of at most ``SMALL`` sets is
-   compared exhaustively on the summaries; a larger one branches again, each
-   set following ``BRANCHES`` tokens that the node's path selects, down to
+   compared exhaustively on the summaries. A larger one is compared to one of
+   its sets, the hub; those at the hub are done, the others branch again, each
+   following ``BRANCHES`` tokens that the node's path selects, down to
    ``DEPTH``; what is still large there is taken as one candidate group.
    Both give candidate groups that may be too large, never too small.
 3. Candidate groups are cut into blocks of bounded size which are solved on the
@@ -45,6 +46,8 @@ PART, WHOLE = 75, 100
 WIDTH, TREES, BRANCHES, DEPTH, SMALL = 64, 10, 2, 4, 128
 #: Candidates agree in so many of the WIDTH minwise tokens (4.6 deviations below 0.75).
 AGREE = 32
+#: In a large node: from here on linked to its hub, from here on at it and not branched further.
+NEAR_HUB, AT_HUB = 26, 52
 #: Bounds of a block of full sets, and hubs of a group.
 BLOCK_SETS, BLOCK_SHINGLES, HUBS = 128, 1_000_000, 4
 
@@ -145,16 +148,28 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, id, tokens) to the children that the node's path selects."""
+    """Large nodes (node, id, hub, tokens, hub_tokens) to the children that the
+    node's path selects, and to links with the hub (node is null).
+
+    Who is very like the hub leaves the node: whatever is alike to it is fairly
+    like the hub, by the triangle inequality of the Jaccard distance, and linked to it.
+    """
     for batch in batches:
         nodes = batch.column(0).to_numpy().view(np.uint64)
-        tokens = _matrix(batch.column(2))
+        ids, hubs = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        tokens = _matrix(batch.column(3))
+        agree = (tokens == _matrix(batch.column(4))).sum(axis=1)
+        near, stays = (agree >= NEAR_HUB) & (ids != hubs), (agree < AT_HUB)
+        nodes, tokens = nodes[stays], tokens[stays]
         children = []
         for k in range(BRANCHES):
             path = mixed(nodes + np.uint64(0xD1B54A32D192ED03 * (k + 1) % 2**64))
             place = (path % np.uint64(WIDTH - TREES)).astype(np.int64) + TREES
             children.append(mixed(path ^ mixed(tokens[np.arange(len(tokens)), place].astype(np.uint64))))
-        yield _keys(np.stack(children, axis=1), batch.column(1))
+        child = np.stack(children, axis=1).reshape(-1).view(np.int64)
+        node = pa.concat_arrays([pa.array(child), pa.nulls(int(near.sum()), pa.int64())])
+        pairs = [np.concatenate((np.repeat(x[stays], BRANCHES), x[near])) for x in (ids, hubs)]
+        yield pa.RecordBatch.from_arrays([node, *map(pa.array, pairs)], names=["node", "id", "hub"])
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 4096) -> Iterator[pa.Table]:
@@ -210,8 +225,13 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
         if depth == DEPTH:
             links.append(large.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
         else:
-            keys = large.select("node", "id").join(nodes.select("id", "tokens"), "id").select("node", "id", "tokens")
-            keys = keys.mapInArrow(_branches, "node long, id long")
+            tokens = nodes.select("id", "tokens")
+            hubs = large.select("node", "hub").distinct().join(tokens.withColumnRenamed("id", "hub"), "hub")
+            rows = large.select("node", "id").join(tokens, "id").join(hubs.withColumnRenamed("tokens", "hub_tokens"), "node")
+            rows = rows.select("node", "id", "hub", "tokens", "hub_tokens")
+            branched = written(rows.mapInArrow(_branches, "node long, id long, hub long"), "branched")
+            links.append(branched.where("node is null").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
+            keys = branched.where("node is not null").select("node", "id")
     rows = small[0]
     for more in small[1:]:
         rows = rows.union(more)
