@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -60,4 +62,21 @@ def arrow_batches(spark: SparkSession, rows: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-MEMORY_AND_DISK = StorageLevel.MEMORY_AND_DISK
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 4096) -> Iterator[pa.Table]:
+    """Tables of whole groups, from batches in which equal keys are neighbours."""
+    held: list[pa.RecordBatch] = []
+
+    def changes(table: pa.Table) -> np.ndarray:
+        parts = [table.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in keys]
+        return np.flatnonzero(np.any([p[1:] != p[:-1] for p in parts], axis=0)) + 1
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            table = pa.Table.from_batches(held)
+            if len(cuts := changes(table)):
+                yield table.slice(0, cuts[-1])
+                held = table.slice(cuts[-1]).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import discard, written
+from factloom.llm.common import groups_of, written
 from factloom.llm.components import components, merge_labels
 
 WORDS = 5
@@ -172,26 +172,6 @@ def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([node, *map(pa.array, pairs)], names=["node", "id", "hub"])
 
 
-def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 4096) -> Iterator[pa.Table]:
-    """Tables of whole groups, from batches in which equal keys are neighbours."""
-    held: list[pa.RecordBatch] = []
-
-    def changes(table: pa.Table) -> np.ndarray:
-        parts = [table.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in keys]
-        return np.flatnonzero(np.any([p[1:] != p[:-1] for p in parts], axis=0)) + 1
-
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-        if sum(b.num_rows for b in held) >= rows:
-            table = pa.Table.from_batches(held)
-            if len(cuts := changes(table)):
-                yield table.slice(0, cuts[-1])
-                held = table.slice(cuts[-1]).to_batches()
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _compare_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Within each node all pairs, but those already joined: links that span the alike."""
     for table in groups_of(batches, ["node"]):

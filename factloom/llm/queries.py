@@ -7,10 +7,15 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, decontaminate, langid, neardup, spm
+from factloom.llm import chat, decontaminate, knn, langid, neardup, spm
 from factloom.llm.common import arrow_batches, table
 
 
+def op1_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_batches(spark, 1000)
+    return knn.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 #: Place of the tokenizer model; a parameter, never part of the repository.
 MODEL_PATH = os.environ.get("FACTLOOM_SPM_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -47,6 +52,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_voronoi_knn": op1_voronoi_knn,
     "op3_near_duplicates": op3_near_duplicates,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
@@ -55,6 +61,19 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_voronoi_knn": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.e, d.e) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+""",
     "op9_decontaminate": r"""
 WITH doc_words AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
