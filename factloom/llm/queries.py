@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, decontaminate, knn, langid, neardup, spm
-from factloom.llm.common import arrow_batches, table
+from factloom.llm import chat, decontaminate, knn, langid, neardup, spm, urlrules
+from factloom.llm.common import arrow_batches, table, written
 
 
 def op1_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,23 @@ def op1_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+#: Fixed values of the url query: action and rule.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = written(urlrules.mine(urlrules.labelled_tokens(pages, table(spark, sf_dir, "labels"))), "rules")
+    names = {"host": urlrules.HOST, "path": urlrules.PATH, "rule": urlrules.RULE, "verdict": urlrules.VERDICT, "mined_rule": urlrules.MINED}
+    return urlrules.judge_pages(pages, URL_RULES, rules).select("page_id", *(F.col(v).alias(k) for k, v in names.items()))
+
+
 #: Place of the tokenizer model; a parameter, never part of the repository.
 MODEL_PATH = os.environ.get("FACTLOOM_SPM_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -53,6 +70,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_voronoi_knn": op1_voronoi_knn,
+    "op2_url_rules": op2_url_rules,
     "op3_near_duplicates": op3_near_duplicates,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
