@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, decontaminate, knn, langid, neardup, spm, urlrules
-from factloom.llm.common import arrow_batches, table, written
+from factloom.llm import chat, decontaminate, knn, langid, neardup, spm, urlrules, warc
+from factloom.llm.common import arrow_batches, new_path, table, written
 
 
 def op1_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,13 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_pages(pages, URL_RULES, rules).select("page_id", *(F.col(v).alias(k) for k, v in names.items()))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_batches(spark, 64)
+    manifest = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), new_path(spark, "warc"))
+    records = warc.read_archives(manifest, with_data=False).where("last")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 #: Place of the tokenizer model; a parameter, never part of the repository.
 MODEL_PATH = os.environ.get("FACTLOOM_SPM_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -72,6 +79,7 @@ QUERIES = {
     "op1_voronoi_knn": op1_voronoi_knn,
     "op2_url_rules": op2_url_rules,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_warc": op4_warc,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
     "op9_decontaminate": op9_decontaminate,
@@ -79,6 +87,20 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_warc": """
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages
+), named AS (
+  SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(8), lambda i:
+    list_aggregate(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST(((CAST('0x' || substr(h, 5 * i + 1, 5) AS INTEGER) >> CAST(s AS INTEGER)) & 31) + 1 AS BIGINT), 1)), 'string_agg', '')), '')
+    AS payload_digest FROM hashed
+), grouped AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS keeper FROM named)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM grouped
+""",
     "op1_voronoi_knn": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
