@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, decontaminate, knn, langid, neardup, spm, urlrules, warc
+from factloom.llm import chat, decontaminate, htmltext, knn, langid, neardup, spm, trainorder, urlrules, warc
 from factloom.llm.common import arrow_batches, new_path, table, written
 
 
@@ -40,6 +40,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_batches(spark, 500)
+    index = trainorder.materialise(table(spark, sf_dir, "documents"), new_path(spark, "shards"))
+    return trainorder.read_back(index).select("slot", "doc_id", "seq_no", "shard", "n_tokens", "crc32")
+
+
 #: Place of the tokenizer model; a parameter, never part of the repository.
 MODEL_PATH = os.environ.get("FACTLOOM_SPM_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -61,6 +67,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_batches(spark, 200)
+    found = htmltext.with_text(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return found.select("page_id", F.char_length(htmltext.TEXT).cast("long").alias("n_chars"), F.col(htmltext.TEXT).alias("text"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_batches(spark, 1000)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -80,9 +92,11 @@ QUERIES = {
     "op2_url_rules": op2_url_rules,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_warc": op4_warc,
+    "op5_training_order": op5_training_order,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
     "op9_decontaminate": op9_decontaminate,
+    "op8_html_layout": op8_html_layout,
     "op10_chat_format": op10_chat_format,
 }
 
