@@ -352,7 +352,6 @@ def remove_spans(found: DataFrame) -> DataFrame:
 
     @F.udf("string")
     def cut(text, spans):
-        return cut_spans(text, [(s["lo"], s["hi"]) for s in spans])
+        return cut_spans(text, [(s["lo"], s["hi"]) for s in spans]) if spans else text
 
-    changed = F.when(F.size(SPANS) > 0, cut("text", SPANS)).otherwise(F.col("text"))
-    return found.withColumn("text", changed)
+    return found.withColumn("text", cut("text", SPANS))

@@ -51,14 +51,15 @@ def grams_of(row: np.ndarray) -> np.ndarray:
     pairs = (row[:-1] << bits) | row[1:]
     triples = (pairs[:-1] << bits) | row[2:]
     middle = row[1:-1] != 0
-    found = np.concatenate((row[row != 0], pairs, triples[middle] | np.uint64(1 << 63)))
+    tag = np.uint64(1 << 42)
+    found = np.concatenate((row[row != 0], pairs | tag, triples[middle] | np.uint64(1 << 63)))
     found.sort()
     return found
 
 
 def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of a sorted array and how often each occurs."""
-    starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1])))
     return codes[starts], np.diff(np.append(starts, len(codes)))
 
 
@@ -138,7 +139,7 @@ def train(labelled: DataFrame) -> Profiles:
     # As signed numbers codes would sort with the triples first; 'code < 0' puts them last as in most_frequent.
     order = Window.partitionBy("lang").orderBy(F.desc("n"), F.col("code") < 0, "code")
     chosen = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= TOP)
-    found = chosen.where("code <> 0").select("lang", "place", "code").limit(TOP * MOST_LANGUAGES + 1).collect()
+    found = chosen.select("lang", "place", "code").limit(TOP * MOST_LANGUAGES + 1).collect()
     if len(found) > TOP * MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     ordered: dict[str, list] = {}

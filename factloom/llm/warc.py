@@ -13,7 +13,7 @@ and the digest of its payload.
 
 Defined cases: a null payload is empty; a null url is the record's identifier;
 rows that repeat a page_id and its payload have the same type (responses if the
-id is the largest); a null page_id is smaller than any other, and if all of
+id is the largest) and the same identifier; a null page_id is smaller than any other, and if all of
 equal payload are null, each is a response; an empty table gives no archives.
 """
 
