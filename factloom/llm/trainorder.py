@@ -9,8 +9,8 @@ UTF-8 never uses, so a token takes one byte.
    in the order of file and row, that gives every sequence a number from 0 on.
 2. A keyed Feistel network over the next even number of bits, repeated while it
    leaves the range (cycle-walking), permutes these numbers: the slots.
-3. Sequences move once, to the range of slots that is their shard; each shard is
-   sorted and written in one stream. A sequence's place is arithmetic, so a
+3. Sequences move once, packed and compressed, to the range of slots that is
+   their shard; each shard is sorted and written in one stream. A sequence's place is arithmetic, so a
    reader can begin at any slot and read on.
 
 Shards are written under fresh names and listed in an index table, so the files
@@ -38,6 +38,8 @@ from factloom.llm.common import groups_of, written
 LENGTH, SHARD = 512, 16_384
 END, PAD = 0xFF, 0xFE
 KEY, ROUNDS = 20240229, 6
+LONGS = pa.list_(pa.int64())
+COLUMNS = ("slot", "doc_id", "seq_no", "n_tokens")
 
 
 def permuted(numbers: np.ndarray, size: int, key: int = KEY) -> np.ndarray:
@@ -112,9 +114,19 @@ def _cutter(first: dict[tuple[str, int], int], total: int, key: int):
                     pieces.append(data[place : place + LENGTH])
                     number += 1
             slots = permuted(np.array(numbers, np.int64), total, key)
+            order = np.argsort(slots, kind="stable").tolist()
+            shards = slots[order] // SHARD
+            cuts = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(order)] if order else []
+            parts = [order[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slots // SHARD), pa.array(slots), pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(pieces, pa.binary())],
-                names=["shard", "slot", "doc_id", "seq_no", "tokens"],
+                [
+                    pa.array([int(slots[p[0]]) // SHARD for p in parts], pa.int64()),
+                    pa.array([slots[p] for p in parts], LONGS),
+                    *(pa.array([[x[i] for i in p] for p in parts], LONGS) for x in (ids, places)),
+                    pa.array([[len(pieces[i]) for i in p] for p in parts], LONGS),
+                    pa.array([zlib.compress(b"".join([pieces[i] for i in p]), 1) for p in parts], pa.binary()),
+                ],
+                names=["shard", "slot", "doc_id", "seq_no", "n_tokens", "tokens"],
             )
 
     return cut
@@ -125,25 +137,34 @@ def _writer(folder: str, total: int):
         system, place = fs.FileSystem.from_uri(folder)
         system.create_dir(place, recursive=True)
         for table in groups_of(batches, ["shard"], rows=1):
-            shards, slots = (table.column(k).to_numpy() for k in ("shard", "slot"))
+            shards = table.column("shard").to_numpy()
             cuts = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
-            tokens = table.column("tokens").to_pylist()
-            paths, lengths = [], [len(t) for t in tokens]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
-                begin = int(shards[lo]) * SHARD
-                if not np.array_equal(slots[lo:hi], np.arange(begin, min(begin + SHARD, total))):
-                    raise ValueError(f"shard {shards[lo]} is not whole")
-                name = f"shard-{shards[lo]:08d}-{uuid.uuid4().hex}.bin"
-                with system.open_output_stream(f"{place}/{name}", compression=None) as out:
-                    for piece in tokens[lo:hi]:
-                        out.write(piece.ljust(LENGTH, bytes([PAD])))
-                paths += [f"{folder}/{name}"] * (hi - lo)
-            table = table.drop_columns(["tokens"]).append_column("n_tokens", pa.array(lengths, pa.int64())).append_column("path", pa.array(paths, pa.string()))
-            yield from table.to_batches()
+                yield one_shard(system, place, int(shards[lo]), table.slice(lo, hi - lo).combine_chunks())
+
+    def one_shard(system: fs.FileSystem, place: str, shard: int, table: pa.Table) -> pa.RecordBatch:
+        slots, _, places, sizes = (table.column(k).combine_chunks().flatten().to_numpy(zero_copy_only=False) for k in COLUMNS)
+        begin = shard * SHARD
+        order = np.argsort(slots, kind="stable")
+        if not np.array_equal(slots[order], np.arange(begin, min(begin + SHARD, total))):
+            raise ValueError(f"shard {shard} is not whole")
+        data = b"".join([zlib.decompress(x) for x in table.column("tokens").to_pylist()])
+        ends = np.cumsum(sizes)
+        name = f"shard-{shard:08d}-{uuid.uuid4().hex}.bin"
+        with system.open_output_stream(f"{place}/{name}", compression=None) as out:
+            for i in order.tolist():
+                out.write(data[ends[i] - sizes[i] : ends[i]].ljust(LENGTH, bytes([PAD])))
+        n = len(order)
+        docs = table.column("doc_id").combine_chunks().flatten().take(pa.array(order))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, shard)), pa.array(slots[order]), docs, pa.array(places[order]), pa.array(sizes[order]), pa.array([f"{folder}/{name}"] * n)],
+            names=["shard", "slot", "doc_id", "seq_no", "n_tokens", "path"],
+        )
 
     return write
 
 
+PACKED = "shard long, slot array<long>, doc_id array<long>, seq_no array<long>, n_tokens array<long>, tokens binary"
 INDEX = "shard long, slot long, doc_id long, seq_no long, n_tokens long, path string"
 
 
@@ -151,10 +172,10 @@ def materialise(docs: DataFrame, folder: str, key: int = KEY) -> DataFrame:
     """Write the shards of a table of files below ``folder``; returns their index,
     one row for each sequence."""
     first, total = number_stretches(docs)
-    cut = _located(docs).mapInArrow(_cutter(first, total, key), "shard long, slot long, doc_id long, seq_no long, tokens binary")
+    cut = _located(docs).mapInArrow(_cutter(first, total, key), PACKED)
     shards = max(1, -(-total // SHARD))
     parts = min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 8)
-    moved = cut.repartitionByRange(parts, "shard").sortWithinPartitions("slot")
+    moved = cut.repartitionByRange(parts, "shard").sortWithinPartitions("shard")
     return written(moved.mapInArrow(_writer(folder, total), INDEX), "order")
 
 
@@ -186,6 +207,6 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(index: DataFrame) -> DataFrame:
-    """The index with the CRC-32 of each sequence, read from its shard in order."""
-    ordered = index.repartition("shard").sortWithinPartitions("shard", "slot")
-    return ordered.mapInArrow(_checksums, f"{INDEX}, crc32 long")
+    """The index with the CRC-32 of each sequence. The index lies in the order of slots,
+    so each task reads on in the shards that its part of it names."""
+    return index.mapInArrow(_checksums, f"{INDEX}, crc32 long")
