@@ -3,12 +3,12 @@ Arrow-fed Python where characters must be walked in order."""
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 KEY_SHAPE = "^[a-z][a-z0-9]*(_[a-z0-9]+)+$"
 CONSTANT_REF = r"\b([A-Z][A-Za-z0-9_]*)\.([A-Z][A-Z0-9_]{2,})\b"
@@ -90,7 +90,7 @@ def fold(text: str | None) -> str | None:
     return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(texts: pd.Series) -> pd.Series:
     return texts.map(fold, na_action="ignore")
 
@@ -100,4 +100,3 @@ def search_tokens(text: Column) -> Column:
     return F.array_remove(F.split(folded(text), r"[^\p{L}\p{N}]+"), "")
 
 
-_NAME = re.compile(r"[A-Za-z0-9_]")

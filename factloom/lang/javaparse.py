@@ -350,6 +350,7 @@ class Body:
         self.calls: list[dict] = []
         self.accesses: list[dict] = []
         self.late = self.silent = self.sink = False
+        self.operand: str | None = None
         for i, p in enumerate(params):
             if p["type"] in ("DynamicObject", "DynamicObjectCollection", "List", "Collection"):
                 self.contexts[p["name"]] = Context("object" if p["type"] == "DynamicObject" else "collection", "param", param=i)
@@ -551,6 +552,7 @@ class Body:
     def called(self, name: str, at: int, start: int, here: Context | None, kind_name: str | None, args: list[tuple[int, int]]) -> Context | None:
         """Record a call on ``here``; returns the context of its result."""
         r = self.r
+        self.operand = r.text(start) if r.is_name(start) and r.text(start + 1) == "." else None
         receiver = r.source_of(start, at - 1) if at > start else ""
         self.record(name, "invocation", at, receiver, kind_name, args)
         tail = receiver.rsplit(".", 1)[-1].split("(", 1)[0]
@@ -623,7 +625,7 @@ class Body:
         self.accesses.append(
             {
                 "class_fqn": self.owner["fqn"], "method": self.method, "access": "write" if write else "read", **self.key(part),
-                "source": known, "form": here.form, "level": here.level, "entry": here.entry, "param": here.param, "via": via,
+                "source": known, "form": here.form, "level": here.level, "entry": here.entry, "param": here.param, "via": via, "receiver": self.operand,
                 "line": self.r.t[at].line, "col": self.r.t[at].col,
             }
         )
