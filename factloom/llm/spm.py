@@ -41,8 +41,8 @@ MARK = "▁"
 #: Fixed values of the model format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Paths of so many parts are remembered in a worker; then it starts afresh.
-REMEMBERED = 400_000
+#: Paths of so many parts, and of as many before them, are remembered in a worker.
+REMEMBERED = 500_000
 #: Penalty of an unknown character below the least score of a unigram model.
 UNKNOWN_PENALTY = 10.0
 INFINITE = float("inf")
@@ -104,7 +104,6 @@ class Transducer:
         self.ids = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == NORMAL}
         self.unknown = self.types.index(UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE}
-        self.longest = max(map(len, self.ids), default=1)
         self.penalty = UNKNOWN_PENALTY - min((self.scores[i] for i in self.ids.values()), default=0.0)
         inner = {c for p in self.ids if len(p) > 1 for c in p}
         alone = "".join(sorted(re.escape(c) for c in "\n\t\r" if c not in inner))
@@ -117,9 +116,9 @@ class Transducer:
         marks = f"{MARK}+{word}*|" if split_marks else ""
         stopped = f"{MARK}*{letter}+(?=[{stops}])|" if stops and split_marks else ""
         self.parts = re.compile(f"{stopped}{marks}{word}+" + (f"|[{alone}]" if alone else ""))
-        self.begins = {p[:k] for p in self.ids for k in range(1, len(p))}
-        self.follows: dict[tuple[str, str], bool] = {}
-        self.remembered: dict[str, bytes] = {}
+        self.index()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.surface = [self._surface(i) for i in range(len(self.pieces))]
 
     def normalise(self, text: str) -> str:
@@ -149,85 +148,110 @@ class Transducer:
                 return symbols
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
-    def weight(self, before: str, symbol: str) -> float:
-        """Of the arc with ``symbol`` after an arc with ``before`` ('' at the start)."""
+    def index(self) -> None:
+        """Pieces as a trie: a text that begins a piece maps to the piece it is, or to -1,
+        and whether a longer one begins with it."""
+        begins = {p[:k] for p in self.ids for k in range(1, len(p))}
+        self.trie = {x: (self.ids.get(x, -1), x in begins) for x in begins | set(self.ids)}
+        self.follows: dict[int, bool] = {}
+
+    def symbol(self, code: int) -> str:
+        """Text of an arc: a piece's, or a character that is none (below zero)."""
+        return self.pieces[code] if code >= 0 else chr(-1 - code)
+
+    def weight(self, before: int | None, code: int) -> float:
+        """Of the arc ``code`` after the arc ``before`` (None at the start)."""
         if self.kind == UNIGRAM:
-            piece = self.ids.get(symbol)
-            return self.penalty if piece is None else -self.scores[piece]
-        fits = self.follows.get((before, symbol))
+            return -self.scores[code] if code >= 0 else self.penalty
+        key = (code << 32) + (-(1 << 24) if before is None else before)
+        fits = self.follows.get(key)
         if fits is None:
-            expected = [before, symbol] if before else [symbol]
-            fits = self.follows[before, symbol] = self.merged(list(before + symbol)) == expected
+            parts = [self.symbol(code)] if before is None else [self.symbol(before), self.symbol(code)]
+            fits = self.follows[key] = self.merged(list("".join(parts))) == parts
         return 0.0 if fits else INFINITE
 
-    def arcs(self, text: str, start: int) -> list[str]:
-        """Symbols that begin at a position, the longest last."""
-        found = [text[start]]
-        for end in range(start + 2, len(text) + 1):
-            symbol = text[start:end]
-            if symbol in self.ids:
-                found.append(symbol)
-            if symbol not in self.begins:
-                break
+    def arcs(self, text: str, start: int) -> list[tuple[int, int]]:
+        """(code, end) of the arcs that begin at a position, the longest last."""
+        trie, char = self.trie, text[start]
+        piece, longer = trie.get(char, (-1, False))
+        found = [(piece if piece >= 0 else -1 - ord(char), start + 1)]
+        end, n = start + 2, len(text)
+        while longer and end <= n:
+            piece, longer = trie.get(text[start:end], (-1, False))
+            if piece >= 0:
+                found.append((piece, end))
+            end += 1
         return found
 
-    def shortest_path(self, text: str) -> list[str]:
-        """Symbols of the best path through the lattice of ``text``."""
+    def shortest_path(self, text: str) -> list[int]:
+        """Codes of the best path through the lattice of ``text``."""
+        if not text:
+            return []
         return self._only_path(text) if self.kind == BPE else self._least_path(text)
 
-    def _least_path(self, text: str) -> list[str]:
-        cost, came = [0.0] + [INFINITE] * len(text), [""] * (len(text) + 1)
+    def _least_path(self, text: str) -> list[int]:
+        cost, came = [0.0] + [INFINITE] * len(text), [(0, 0)] * (len(text) + 1)
         for start in range(len(text)):
-            for symbol in self.arcs(text, start):
-                total, end = cost[start] + self.weight(came[start], symbol), start + len(symbol)
+            for code, end in self.arcs(text, start):
+                total = cost[start] + self.weight(None, code)
                 if total < cost[end]:
-                    cost[end], came[end] = total, symbol
+                    cost[end], came[end] = total, (code, start)
         path, at = [], len(text)
         while at:
-            path.append(came[at])
-            at -= len(came[at])
+            code, at = came[at]
+            path.append(code)
         return path[::-1]
 
-    def _only_path(self, text: str) -> list[str]:
+    def _only_path(self, text: str) -> list[int]:
         """Where weights are zero or infinite, the first whole path that is found
         is a shortest. A prefix has one encoding, so a position left without
         success need not be entered again."""
-        path, at, dead = [], 0, set()
-        open_ = [self.arcs(text, 0)]
-        while at < len(text):
-            if not open_[-1]:
-                open_.pop()
-                dead.add(at)
-                at -= len(path.pop())
-                continue
-            symbol = open_[-1].pop()
-            end = at + len(symbol)
-            if end not in dead and self.weight(path[-1] if path else "", symbol) == 0.0:
-                path.append(symbol)
-                at = end
-                open_.append(self.arcs(text, at) if at < len(text) else [])
-        return path
+        n, follows, arcs = len(text), self.follows, self.arcs
+        path: list[int] = []
+        places, waiting, dead = [0], [], set()
+        before, options = -(1 << 24), arcs(text, 0)
+        while True:
+            if options:
+                code, end = options.pop()
+                fits = follows.get((code << 32) + before)
+                if fits is None:
+                    fits = self.weight(path[-1] if path else None, code) == 0.0
+                if fits and end not in dead:
+                    path.append(code)
+                    if end == n:
+                        return path
+                    waiting.append(options)
+                    places.append(end)
+                    before, options = code, arcs(text, end)
+            else:
+                dead.add(places.pop())
+                path.pop()
+                options = waiting.pop()
+                before = path[-1] if path else -(1 << 24)
 
     def _part(self, text: str) -> bytes:
-        out: list[int] = []
-        for symbol in self.shortest_path(text):
-            piece = self.ids.get(symbol)
-            if piece is not None:
-                out.append(piece)
-            elif self.bytes:
-                out.extend(self.bytes[b] for b in symbol.encode("utf-8", "replace"))
-            else:
-                out.append(self.unknown)
-        return np.array(out, np.uint32).tobytes()
+        path = self.shortest_path(text)
+        if min(path) < 0:
+            out: list[int] = []
+            for code in path:
+                if code >= 0:
+                    out.append(code)
+                elif self.bytes:
+                    out.extend(self.bytes[b] for b in chr(-1 - code).encode("utf-8", "replace"))
+                else:
+                    out.append(self.unknown)
+            path = out
+        return struct.pack(f"<{len(path)}I", *path)
 
     def encode(self, text: str) -> np.ndarray:
         parts = self.parts.findall(self.normalise(text))
-        known = self.remembered
-        if len(known) > REMEMBERED:
-            known.clear()
-        for part in set(parts).difference(known):
-            known[part] = self._part(part)
-        return np.frombuffer(b"".join([known[p] for p in parts]), np.uint32)
+        young, old = self.young, self.old
+        if len(young) > REMEMBERED:
+            self.old = old = young
+            self.young = young = {}
+        for part in set(parts).difference(young):
+            young[part] = old.get(part) or self._part(part)
+        return np.frombuffer(b"".join([young[p] for p in parts]), "<u4")
 
     def _surface(self, i: int) -> bytes:
         if self.types[i] == BYTE:
