@@ -72,13 +72,15 @@ def components(links: DataFrame) -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # minima are written before they are joined: both sides of the join are then plain
+        # exchanges, and the links of a node that has very many can be split among tasks
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.join(least, "a").where("b > a and b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # each id's smaller neighbours, joined to the smallest of them
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
         after = written(small.select("e.a", F.col("e.m").alias("b")).where("a > b").distinct(), "links")
-        discard(spark, edges)
+        discard(spark, edges, least)
         edges, before = after, state
         state = _state(edges)
         if state == before:
