@@ -1,9 +1,12 @@
-"""Connected components of links between ids, by alternating stars.
-
-Each round is two grouped minima and joins (large-star, then small-star), so a
-node with very many links is pre-aggregated and its join can be split. Rounds
-are written to the shared folder; nothing of the graph reaches the driver but
-the number of edges and a checksum.
+"""Connected components of links between ids, by contraction and alternating stars.
+
+Workers contract their links to spanning forests, in blocks of ``BLOCK`` links.
+While more than one block is left, rounds of two grouped minima and joins
+(large-star, then small-star) bring every id closer to its component's smallest;
+a node with very many links is pre-aggregated and its join can be split. The
+last block, of bounded size, is contracted at once. Rounds are written to the
+shared folder; nothing of the graph reaches the driver but the number of edges
+and a checksum.
 """
 
 from __future__ import annotations
@@ -70,7 +73,7 @@ def components(links: DataFrame) -> DataFrame:
     clean = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     edges = written(clean.mapInArrow(_forest, "a long, b long"), "links")
     state = _state(edges)
-    while state[0]:
+    while state[0] > BLOCK:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # minima are written before they are joined: both sides of the join are then plain
         # exchanges, and the links of a node that has very many can be split among tasks
@@ -85,6 +88,11 @@ def components(links: DataFrame) -> DataFrame:
         state = _state(edges)
         if state == before:
             break
+    else:
+        if state[0]:
+            last = written(edges.coalesce(1).mapInArrow(_forest, "a long, b long"), "links")
+            discard(spark, edges)
+            edges = last
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )

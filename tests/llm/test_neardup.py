@@ -100,7 +100,9 @@ def test_very_long_text(spark):
     assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 1, 3: 3}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("block", [200_000, 20])
+def test_components(spark, monkeypatch, block):
+    monkeypatch.setattr(comp, "BLOCK", block)
     random.seed(7)
     for edges in ([], [(i, i + 1) for i in range(200)], [(0, i) for i in range(1, 300)], [(random.randrange(500), random.randrange(500)) for _ in range(300)]):
         found = comp.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()
