@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.rank import first_per_group
-from factloom.storage import written
+from factloom.storage import written, written_counted
 
 #: Order of chain ends: what proves an entry comes first.
 TERMINALS = ["entry", "plugin_boundary", "no_static_caller", "depth_capped", "callers_all_visited"]
@@ -47,8 +47,8 @@ def reachable(edges: DataFrame, src: str, dst: str, starts: DataFrame, max_depth
             .join(seen.select("start", "node"), ["start", "node"], "left_anti")
             .withColumn("depth", F.lit(depth))
         )
-        frontier = written(new, "level")
-        if frontier.isEmpty():
+        frontier, n = written_counted(new, "level")
+        if not n:
             break
         seen = seen.union(frontier)
     return seen
@@ -70,8 +70,8 @@ def closure_to_bases(parents: DataFrame, child: str, parent: str, bases: DataFra
     for depth in range(2, max_depth + 1):
         up = level.select(F.col("node").alias("up"), "base")
         new = steps.join(up, "up").groupBy("node").agg(F.min("base").alias("base")).join(found.select("node"), "node", "left_anti")
-        level = written(new.withColumn("depth", F.lit(depth)), "closure")
-        if level.isEmpty():
+        level, n = written_counted(new.withColumn("depth", F.lit(depth)), "closure")
+        if not n:
             break
         found = found.union(level)
     return found
@@ -100,8 +100,8 @@ def agree_fixpoint(edges: DataFrame, caller: str, target: str, seeds: DataFrame,
             .where("sites = valued and value = other")
             .select("node", "value", "depth")
         )
-        new = written(agreed, "fixpoint")
-        if new.isEmpty():
+        new, n = written_counted(agreed, "fixpoint")
+        if not n:
             break
         known = known.union(new)
     return known
@@ -161,8 +161,7 @@ def entry_chains(
         ranked = ranked.select(
             F.col("caller").alias("node"), F.lit(depth + 1).alias("depth"), F.col("target").alias("child"), (F.col("so_far") | F.col("heuristic")).alias("heuristic"), "pos"
         )
-        level = written(ranked, "chain")
-        found = level.count()
+        level, found = written_counted(ranked, "chain")
         if found > room:
             truncated, level = True, level.where(F.col("pos") <= room)
         if not min(found, room):

@@ -9,10 +9,11 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from xml.etree import ElementTree as ET
 
-# Names of the build template's files, properties and folders.
-LIBS_PROPERTY, HOME_PROPERTY, HOME_VARIABLE = "cosmic_libs_path", "cosmic_home", "COSMIC_HOME"
-HOME_TAIL = "mservice-cosmic/lib"
+# Properties of the build template end in these, its library folders are named so.
+LIBS_SUFFIX, HOME_SUFFIX = "_libs_path", "_home"
 DEFAULT_FOLDERS = ["trd", "bos", "biz", "cus", "ext"]
+#: Environment variable with the platform's home, where no property tells it.
+HOME_VARIABLE = "FACTLOOM_PLATFORM_HOME"
 
 
 @dataclass
@@ -78,14 +79,15 @@ def _gradle(root: Path, out: Classpath) -> bool:
         out.attempts.append("gradle: no settings file")
         return False
     known = _properties(root / "gradle.properties")
-    home = known.get(HOME_PROPERTY) or os.environ.get(HOME_VARIABLE)
-    libs = known.get(LIBS_PROPERTY) or (os.path.join(home, HOME_TAIL) if home else None)
+    home = next((v for k, v in known.items() if k.endswith(HOME_SUFFIX)), None) or os.environ.get(HOME_VARIABLE)
+    below = sorted(Path(root, home).glob("*/lib")) if home else []
+    libs = next((v for k, v in known.items() if k.endswith(LIBS_SUFFIX)), None) or (str(below[0]) if below else None)
     if libs is None or not os.path.isdir(os.path.join(root, libs)):
         out.attempts.append(f"gradle: no library root ({libs or 'not set'})")
         return False
     base = root / libs
     config = root / "config.gradle"
-    names = re.findall(r'"\$\{' + LIBS_PROPERTY + r'\}/([\w./-]+)"', config.read_text(encoding="utf-8", errors="replace")) if config.is_file() else DEFAULT_FOLDERS
+    names = re.findall(r'"\$\{\w*' + LIBS_SUFFIX + r'\}/([\w./-]+)"', config.read_text(encoding="utf-8", errors="replace")) if config.is_file() else DEFAULT_FOLDERS
     for name in names:
         if (base / name).is_dir():
             out.folders.append(str((base / name).resolve()))

@@ -76,8 +76,8 @@ def test_classpaths(tmp_path):
     (tmp_path / "libs/bos/a.jar").write_text("")
     (tmp_path / "settings.gradle").write_text("include 'mod', \"gone\"")
     (tmp_path / "mod").mkdir()
-    (tmp_path / "gradle.properties").write_text("systemProp.cosmic_libs_path=libs\n")
-    (tmp_path / "config.gradle").write_text('path = [ bos : "${cosmic_libs_path}/bos", x : "${cosmic_libs_path}/none" ]')
+    (tmp_path / "gradle.properties").write_text("systemProp.acme_libs_path=libs\n")
+    (tmp_path / "config.gradle").write_text('path = [ bos : "${acme_libs_path}/bos", x : "${acme_libs_path}/none" ]')
     found = classpath.discover(str(tmp_path))
     assert (found.provider, found.modules, found.jars(), len(found.warnings), len(found.attempts)) == ("gradle", ["mod"], 1, 2, 2)
     (tmp_path / ".idea/libraries").mkdir(parents=True)
