@@ -1,59 +1,25 @@
-"""Helpers that several operators share."""
+"""Helpers that several operators share; where written tables go is told in ``factloom.storage``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom import storage
+from factloom.storage import new_path, shared_dir, written
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (as
-    in tests, on one machine) is a temporary folder put in its place.
-    """
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="factloom-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/factloom/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: later stages start from files
-    that survive the loss of any executor."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the files of tables that ``written`` made and nothing needs any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    folders = set()
     for df in frames:
-        folders |= {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        if "/factloom/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        storage.discard(df)
 
 
 def arrow_batches(spark: SparkSession, rows: int) -> None:
@@ -80,3 +46,6 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 40
                 held = table.slice(cuts[-1]).to_batches()
     if held:
         yield pa.Table.from_batches(held)
+
+
+__all__ = ["arrow_batches", "discard", "groups_of", "new_path", "shared_dir", "table", "written"]
