@@ -196,7 +196,9 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     keys = nodes.select("id", "tokens").mapInArrow(_roots, "node long, id long")
     links, small = [], []
     for depth in range(1, DEPTH + 1):
-        sizes = keys.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1")
+        # written before the join: both its sides are then plain exchanges, and a node that
+        # holds a large share of the rows can be split among tasks
+        sizes = written(keys.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1"), "sizes")
         members = written(keys.join(sizes, "node"), "members")
         small.append(members.where(F.col("size") <= SMALL).select("node", "id"))
         large = members.where(F.col("size") > SMALL)
@@ -285,6 +287,7 @@ def confirmed_links(candidates: DataFrame, nodes: DataFrame, docs: DataFrame) ->
     sizes = sizes.withColumn(
         "blocks", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("long")
     )
+    sizes = written(sizes, "sizes")
     groups = written(groups.join(sizes.select("grp", "blocks"), "grp"), "groups")
     hubs = sizes.where("blocks > 1").select(
         "grp", "blocks", F.explode(F.array_distinct(F.array(*[f"hub{k}" for k in range(HUBS)]))).alias("id")
@@ -303,12 +306,12 @@ def confirmed_links(candidates: DataFrame, nodes: DataFrame, docs: DataFrame) ->
     labels = components(first).withColumnRenamed("component", "known")
     known = several.join(labels, "id", "left").withColumn("known", F.coalesce("known", "id"))
     parts = known.groupBy("grp", "known").agg(F.count("*").alias("n"))
-    main = parts.groupBy("grp").agg(F.max_by("known", F.struct("n", "known")).alias("main"), F.sum("n").alias("sets"))
+    main = written(parts.groupBy("grp").agg(F.max_by("known", F.struct("n", "known")).alias("main"), F.sum("n").alias("sets")), "main")
     known = written(known.join(main, "grp"), "known")
     rest = known.where("known <> main")
     if rest.isEmpty():
         return first
-    left = rest.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("parts"))
+    left = written(rest.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("parts")), "left")
     rest_part = F.pmod(F.xxhash64("id", F.lit("rest")), F.col("parts"))
     # block = part of the rest * blocks + block of all
     queries = rest.join(left, "grp").select(
