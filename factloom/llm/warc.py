@@ -66,7 +66,8 @@ def classified(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"sha1": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
-    groups = rows.groupBy("sha1", "size").agg(F.max("page_id").alias("keeper"))
+    # written before the join: a payload that many pages share can then be split among tasks
+    groups = written(rows.groupBy("sha1", "size").agg(F.max("page_id").alias("keeper")), "payloads")
     refers = F.when((F.col("size") >= LEAST) & (F.col("keeper") != F.coalesce("page_id", F.col("keeper") - 1)), F.col("keeper"))
     return (
         rows.join(groups, ["sha1", "size"])
