@@ -95,6 +95,8 @@ class Reader:
         self.source = source
         self.t = tokens(source)
         self.out = Parsed()
+        #: What methods of each class return, where all their returns agree.
+        self.returns: dict[tuple[str, str], Context | None] = {}
         self.match = self._pairs()
 
     def _pairs(self) -> dict[int, int]:
@@ -326,6 +328,10 @@ class Reader:
             scope.merge(again)
         self.out.calls += scope.calls
         self.out.accesses += scope.accesses
+        if scope.returned:
+            key, found = (owner["fqn"], method), scope.returned[0]
+            agreed = all(c == found for c in scope.returned) and self.returns.get(key, found) == found
+            self.returns[key] = found if agreed else None
         for m in reversed(self.out.methods):
             if m["class_fqn"] == owner["fqn"] and m["name"] == method:
                 m["sink"] = scope.sink
@@ -351,6 +357,7 @@ class Body:
         self.accesses: list[dict] = []
         self.late = self.silent = self.sink = False
         self.operand: str | None = None
+        self.returned: list[Context | None] = []
         for i, p in enumerate(params):
             if p["type"] in ("DynamicObject", "DynamicObjectCollection", "List", "Collection"):
                 self.contexts[p["name"]] = Context("object" if p["type"] == "DynamicObject" else "collection", "param", param=i)
@@ -372,6 +379,9 @@ class Body:
             if t.kind == NAME and t.text == "for" and r.text(i + 1) == "(":
                 i = self.loop(i + 1)
                 continue
+            if t.kind == NAME and t.text == "return" and r.text(i + 1) not in (";", "null"):
+                found = self.value(i + 1, hi)
+                self.returned.append(found if found and found.source in ("own", "form") else None)
             if t.kind == NAME and t.text not in NOT_CALLS and r.text(i - 1) != ".":
                 declared = self.declaration(i, hi)
                 if declared:
@@ -571,7 +581,7 @@ class Body:
             one = name.startswith(("loadSingle", "newDynamic", "queryOne"))
             return Context("object" if one else "collection", "form", form=form) if form else None
         if here is None:
-            return None
+            return r.returns.get((self.owner["fqn"], name)) if receiver in ("", "this") else None
         if here.kind == "model":
             return self.model_call(name, at, here, args)
         if here.kind == "object":
@@ -632,4 +642,11 @@ class Body:
 
 
 def parse(source: str) -> Parsed:
-    return Reader(source).read()
+    """Read a file; once more if methods return data objects that others may use."""
+    first = Reader(source)
+    found = first.read()
+    if any(first.returns.values()):
+        again = Reader(source)
+        again.returns = dict(first.returns)
+        found = again.read()
+    return found

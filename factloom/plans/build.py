@@ -326,21 +326,42 @@ def annotation_writes(parsed: DataFrame, fields: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def operation_triggers(edges: DataFrame, meta: dict[str, DataFrame]) -> DataFrame:
-    """Calls that trigger an operation, with its key and the form it runs on."""
+def argument_values(calls: DataFrame, constants: DataFrame, at: int, name: str) -> DataFrame:
+    """Add the value of an argument (a literal, or a constant looked up) and how it was found."""
+    arg = F.coalesce(F.get("args", F.lit(at)), F.lit(""))
+    literal = F.regexp_extract(arg, '^"([^"]*)"$', 1)
+    named = r"^(?:[\w.]*?(\w+)\.)?([A-Z][A-Z0-9_]*)$"
+    cls, const = F.regexp_extract(arg, named, 1), F.regexp_extract(arg, named, 2)
+    rows = written(calls.withColumn("call_id", F.monotonically_increasing_id()), "calls")
+    refs = rows.where(const != "").select("call_id", F.when(cls != "", cls).otherwise(text.last_segment(F.col("caller_fqn"))).alias("class_name"), const.alias("const_name"))
+    found = resolve.resolve_constants(refs, constants.select("class_name", "const_name", "literal"), "class_name", "const_name", "literal")
+    found = found.select("call_id", F.col("resolution").alias("tier"), F.col("value").alias("looked_up"), F.col("confidence").alias("sure"))
+    tier = F.when(F.col("tier").isin("class", "unique_name"), "constant").otherwise(F.coalesce("tier", F.lit("unknown")))
+    return rows.join(found, "call_id", "left").select(
+        *calls.columns,
+        F.when(literal != "", literal).otherwise(F.col("looked_up")).alias(name),
+        F.when(literal != "", "literal").otherwise(tier).alias(f"{name}_how"),
+        F.when(literal != "", 1.0).otherwise(F.coalesce("sure", F.lit(0.0))).alias(f"{name}_sure"),
+    )
+
+
+def operation_triggers(edges: DataFrame, meta: dict[str, DataFrame], constants: DataFrame) -> DataFrame:
+    """Calls that trigger an operation, with its key and the form it runs on. A call that
+    symbols resolve to a class outside the platform is none."""
     calls = edges.where(F.col("target_method").isin(TRIGGERS))
-    literal = lambda n: F.regexp_extract(F.coalesce(F.get("args", F.lit(n)), F.lit("")), '^"([^"]*)"$', 1)
-    text_or_null = lambda c: F.when(c != "", c)
+    calls = calls.where("resolution not in ('expr', 'scope') or target_fqn like 'kd.bos.%'")
+    rows = argument_values(argument_values(calls, constants, 0, "op_key"), constants, 1, "given")
     bound = meta["plugin"].groupBy(F.col("class_name").alias("caller_fqn")).agg(F.count_distinct("form_key").alias("forms"), F.min("form_key").alias("one_form"))
-    rows = calls.join(bound, "caller_fqn", "left").withColumns({"op_key": text_or_null(literal(0)), "given": text_or_null(literal(1))})
-    execute = F.col("target_method") == "executeOperate"
-    target = F.when(execute, F.col("given")).when(F.col("forms") == 1, F.col("one_form"))
-    how = F.when(execute, F.when(F.col("given").isNotNull(), "literal").otherwise("unknown")).when(F.col("forms") == 1, "binding").when(F.col("forms") > 1, "ambiguous").otherwise("unknown")
-    sure = F.when(how == "literal", 1.0).when(how == "binding", 0.85).when(how == "ambiguous", 0.3).otherwise(0.0)
+    rows = rows.join(bound, "caller_fqn", "left")
+    execute, one, several = F.col("target_method") == "executeOperate", F.col("forms") == 1, F.col("forms") > 1
+    target = F.when(execute, F.col("given")).when(one, F.col("one_form"))
+    how = F.when(execute, F.col("given_how")).when(one, "binding").when(several, "ambiguous").otherwise("unknown")
+    sure = F.when(execute, F.col("given_sure")).when(one, 0.85).when(several, 0.3).otherwise(0.0)
+    receiver = F.when(F.col("resolution").isin("expr", "scope"), "symbol").otherwise("text")
     found = rows.select(
         F.col("caller_fqn").alias("caller_class"), "caller_method", "line", "source_relpath", F.col("target_method").alias("via"), "op_key",
-        F.when(F.col("op_key").isNotNull(), "literal").otherwise("unknown").alias("op_key_resolution"), F.when(F.col("op_key").isNotNull(), 1.0).otherwise(0.0).alias("op_key_confidence"),
-        target.alias("target_form_key"), how.alias("target_resolution"), sure.alias("target_confidence"), F.col("receiver").alias("evidence"), F.lit("text").alias("receiver_source"),
+        F.col("op_key_how").alias("op_key_resolution"), F.col("op_key_sure").alias("op_key_confidence"), target.alias("target_form_key"),
+        how.alias("target_resolution"), sure.alias("target_confidence"), F.col("evidence"), receiver.alias("receiver_source"),
     )
     return rank.first_per_group(found, ["caller_class", "caller_method", "line", "via"], [F.col("op_key"), F.col("target_form_key"), F.col("source_relpath")])
 
@@ -405,7 +426,7 @@ def build(spark: SparkSession, folder: str, files: DataFrame, models: DataFrame,
     constants = facts(parsed, "constants").withColumnRenamed("relpath", "source_relpath")
     tables = {
         **meta, "binding": bound, "source_class": placed, "module": modules, "call_edge": edges, "plugin_method": methods, "field_access": accesses,
-        "java_constant": constants, "operation_trigger": operation_triggers(edges, meta), "coarse_field_hit": coarse_hits(parsed, meta["field"]),
+        "java_constant": constants, "operation_trigger": operation_triggers(edges, meta, constants), "coarse_field_hit": coarse_hits(parsed, meta["field"]),
         "edge": property_edges({**meta, "binding": bound}), "search": search_rows(meta, placed),
     }
     states = {r["status"]: r["files"] for r in parsed.groupBy("status").agg(F.count("*").alias("files")).collect()}

@@ -13,7 +13,10 @@ OP = """package a; public class CardAudit extends AbstractOperationServicePlugIn
       for (DynamicObject row : d.getDynamicObjectCollection("lines")) { row.set("acme_kind", 1); }
     }
     getView().invokeOperation("save");
+    OperationServiceHelper.executeOperate(Keys.OP, "other_form", objs, opt);
+    target().set("acme_no", 3);
   }
+  private DynamicObject target() { return BusinessDataServiceHelper.loadSingle(1, "third_form"); }
 }"""
 FORM_PLUGIN = """package a; public class CardForm extends Base {
   public void propertyChanged(PropertyChangedArgs e) { this.getModel().setValue("acme_qty", 1); String s = (String) getModel().getValue("acme_no"); }
@@ -21,7 +24,7 @@ FORM_PLUGIN = """package a; public class CardForm extends Base {
 }
 class Base extends AbstractFormPlugin {}"""
 HELPER = """package a; public class Helper { public void fill(DynamicObject o) { o.set("acme_qty", 2); } void lost(DynamicObject q) { q.get("zzz"); q.get("acme_no"); } }"""
-KEYS = 'package a.cons; public class Keys { public static final String NO = "acme_no"; }'
+KEYS = 'package a.cons; public class Keys { public static final String NO = "acme_no"; static final String OP = "audit"; }'
 
 
 @pytest.fixture(scope="module")
@@ -47,8 +50,13 @@ def test_counts_and_bindings(kb):
     assert classes["a.cons.Keys"]["orphan_role"] == "constant" and classes["a.Helper"]["orphan_role"] == "unknown"
 
 
+def test_what_a_method_returns_is_known_to_its_callers(kb):
+    found = kb.table("field_access").where("field_key = 'acme_no' and access_class = 'a.CardAudit' and form_key = 'third_form'").collect()
+    assert [(r["access"], r["form_key_source"]) for r in found] == [("write", "data_flow")]
+
+
 def rows(kb):
-    return {(r["access_class"], r["access_method"], r["field_key"], r["access"]): r for r in kb.table("field_access").collect()}
+    return {(r["access_class"], r["access_method"], r["field_key"], r["access"]): r for r in kb.table("field_access").where("form_key is null or form_key <> 'third_form'").collect()}
 
 
 def test_accesses(kb):
@@ -80,7 +88,9 @@ def test_edges_triggers_and_coarse_hits(kb):
     assert edges["beginOperationTransaction", "fill"]["target_fqn"] == "a.Helper" and edges["beginOperationTransaction", "fill"]["resolution"] == "heuristic"
     assert edges["beginOperationTransaction", "getDataEntities"]["resolution"] == "failed"
     trigger = kb.table("operation_trigger").collect()
-    assert [(t["op_key"], t["target_form_key"], t["target_resolution"]) for t in trigger] == [("save", "acme_card", "binding")]
+    assert sorted((t["op_key"], t["op_key_resolution"], t["target_form_key"], t["target_resolution"]) for t in trigger) == [
+        ("audit", "constant", "other_form", "literal"), ("save", "literal", "acme_card", "binding")
+    ]
     hits = {(r["field_key"], r["relpath"], r["via"]) for r in kb.table("coarse_field_hit").collect()}
     assert ("acme_no", "CardForm.java", "rw-idiom") in hits and ("acme_no", "CardAudit.java", "const-rw-idiom") in hits and ("acme_kind", "CardAudit.java", "rw-idiom") in hits
     assert ("acme_no", "Keys.java", "const-ref") in hits and not any(h[0] == "acme_qty" for h in hits)
