@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import classify, events, text
-from factloom.operators import aggregate, dedup, graph, rank, resolve
+from factloom.operators import aggregate, dedup, graph, rank, resolve, setcmp
 from factloom.schema import CALL_CONFIDENCE
+from factloom.sources import formxml
 from factloom.sources.javasource import facts, parse_files
 from factloom.sources.store import KnowledgeBase, write_kb
 from factloom.storage import written
@@ -32,8 +33,9 @@ def node(cls: str, method: str):
 # metadata tables
 
 
-def metadata_tables(models: DataFrame) -> dict[str, DataFrame]:
-    """Forms, entities, fields, plugins, operations and rules of read models."""
+def metadata_tables(models: DataFrame, extensions: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Forms, entities, fields, plugins, operations and rules of read models. Forms that
+    ``extensions`` (key, extends) names are aliases of the forms they extend."""
     fine = models.where("error is null")
     forms = fine.where("form_type <> 'convert'")
     form_key = F.col("key").alias("form_key")
@@ -59,8 +61,13 @@ def metadata_tables(models: DataFrame) -> dict[str, DataFrame]:
     )
     form = forms.select(
         "key", "name", "form_type", "model_type", "isv", "app_key", F.coalesce("app_key", F.lit("(none)")).alias("module"),
-        F.col("source_file").alias("source_dym"), F.lit(False).alias("is_extension"), F.lit(None).cast("string").alias("extends"),
+        F.col("source_file").alias("source_dym"),
     )
+    if extensions is None:
+        form = form.withColumns({"is_extension": F.lit(False), "extends": F.lit(None).cast("string")})
+    else:
+        alias = extensions.groupBy("key").agg(F.min("extends").alias("extends"))
+        form = form.join(alias, "key", "left").withColumn("is_extension", F.col("extends").isNotNull())
     combo = fields.select(F.col("uid").alias("field_uid"), F.explode("combo_items").alias("c")).select("field_uid", "c.value", "c.caption")
     return {"form": form, "entity": entity, "field": field, "field_combo_item": combo, "plugin": plugin, "operation": operation, "convert_rule": rules}
 
@@ -148,12 +155,31 @@ def call_edges(parsed: DataFrame, symbols: DataFrame | None = None) -> DataFrame
         resolution.alias("resolution"), F.when(sure, F.col("s_kind")).when(F.col("t_fqn").isNotNull(), "project").alias("target_kind"),
         F.col("receiver").alias("evidence"), "args", "sources", "receiver",
     )
+    if symbols is not None:
+        edges = edges.unionByName(unmatched_sites(calls, symbols, facts(parsed, "methods")), allowMissingColumns=True)
     confidence = F.lit(0.0)
     for name, value in CALL_CONFIDENCE.items():
         confidence = F.when(F.col("resolution") == name, value).otherwise(confidence)
     return edges.withColumn("confidence", confidence)
 
 
+def unmatched_sites(calls: DataFrame, symbols: DataFrame, methods: DataFrame) -> DataFrame:
+    """Edges of symbol sites that the reader has no call for; the caller is the innermost
+    method around the line, or unknown."""
+    alone = symbols.join(calls.select("relpath", "line", "name").distinct(), ["relpath", "line", "name"], "left_anti")
+    around = methods.select("relpath", "class_fqn", F.col("name").alias("caller_method"), F.col("line").alias("first"), "end_line")
+    inside = alone.join(around, "relpath", "left").where("first is null or line between first and end_line")
+    placed = rank.first_per_group(inside, ["relpath", "line", "col", "name"], [F.desc("first"), F.col("end_line"), F.col("class_fqn")])
+    rest = alone.join(placed.select("relpath", "line", "col", "name"), ["relpath", "line", "col", "name"], "left_anti")
+    rows = placed.unionByName(rest, allowMissingColumns=True)
+    sure = F.col("resolution").isin("expr", "scope")
+    return rows.select(
+        F.col("class_fqn").alias("caller_fqn"), "caller_method", F.when(sure, F.col("declaring")).alias("target_fqn"), F.col("name").alias("target_method"),
+        F.col("signature").alias("target_signature"), F.col("kind"), "line", "col", F.col("relpath").alias("source_relpath"),
+        F.when(sure, F.col("resolution")).otherwise("failed").alias("resolution"), F.when(sure, F.col("target_kind")).alias("target_kind"), F.lit("symbol only").alias("evidence"),
+    )
+
+
 def parameter_forms(edges: DataFrame) -> DataFrame:
     """(class_fqn, method, param, form, depth) of the parameters for which all call sites
     agree on one form."""
@@ -274,8 +300,13 @@ def field_accesses(parsed: DataFrame, meta: dict[str, DataFrame], edges: DataFra
 
 
 def finished(rows: DataFrame, meta: dict[str, DataFrame]) -> DataFrame:
-    """Fill open forms from the metadata, deduplicate, and give the rest their reasons."""
-    rows = back_filled(rows, meta)
+    """Fill open forms from the metadata, deduplicate, and give the rest their reasons. A
+    header access whose key is an entry's own key means that entry."""
+    entries = entity_levels(meta["entity"]).where("level in ('entry', 'subentry')").select(F.col("key").alias("field_key"), F.col("level").alias("entry_level"))
+    rows = rows.join(entries, "field_key", "left")
+    means_entry = F.col("entry_level").isNotNull() & (F.col("level") == "header")
+    rows = rows.withColumns({"entry_key": F.when(means_entry, F.col("field_key")).otherwise(F.col("entry_key")), "level": F.when(means_entry, F.col("entry_level")).otherwise(F.col("level"))})
+    rows = back_filled(rows.drop("entry_level"), meta)
     key = ["form_key", "field_key", "level", "entry_key", "plugin_fqn", "access_class", "access_method", "event_method", "access", "line", "source_relpath"]
     rest = [c for c in rows.columns if c not in key]
     kept = dedup.keep_first(rows, key, sorted(c for c in rest if c not in ("path",)), F.lit(False), F.coalesce("guessed", F.lit(False)))
@@ -283,6 +314,11 @@ def finished(rows: DataFrame, meta: dict[str, DataFrame]) -> DataFrame:
     return kept.withColumn("null_reason", reason).drop("guessed", "receiver")
 
 
+def entity_levels(entities: DataFrame) -> DataFrame:
+    """Level of each entity key; null where forms differ."""
+    return setcmp.unique_reverse(entities.where("key is not null"), "key", "level")
+
+
 def back_filled(rows: DataFrame, meta: dict[str, DataFrame]) -> DataFrame:
     """Forms of open rows from the metadata: a field key of one form; else the one of its
     forms that the class is bound to; else the one that all keys of the same method and
@@ -411,11 +447,12 @@ def module_map(meta: dict[str, DataFrame], bound: DataFrame, classes: DataFrame)
     return rows.select(F.col("module").alias("name"), F.col("module").alias("app_key"), "*", F.lit(1.0).alias("confidence")).drop("module"), placed
 
 
-def build(spark: SparkSession, folder: str, files: DataFrame, models: DataFrame, symbols: DataFrame | None = None, status: dict | None = None) -> KnowledgeBase:
-    """Build the knowledge base in a folder from source files and models."""
+def build(spark: SparkSession, folder: str, files: DataFrame, models: DataFrame, symbols: DataFrame | None = None, status: dict | None = None, prefixes: DataFrame | None = None) -> KnowledgeBase:
+    """Build the knowledge base in a folder from source files and models. ``prefixes``
+    (column ``prefix``) are those of one's own keys, by which extensions are known."""
     parsed = written(parse_files(files), "parsed")
     models = written(models, "models")
-    meta = metadata_tables(models)
+    meta = metadata_tables(models, formxml.extension_target(models, prefixes) if prefixes is not None else None)
     classes = written(source_classes(parsed), "classes")
     bound = written(bindings(meta["plugin"], classes), "bindings")
     modules, placed = module_map(meta, bound, with_orphans(classes, bound))

@@ -111,3 +111,21 @@ def test_overloads_inner_classes_and_lambdas():
     p = javaparse.parse('package q; class A { void f(int a) {} void f(String b) {} class B { void g() { list.forEach(r -> r.set("k", 1)); A::f; } } }')
     assert [(m["class_fqn"], m["name"], m["overload"]) for m in p.methods] == [("q.A", "f", 0), ("q.A", "f", 1), ("q.A$B", "g", 0)]
     assert ("method_reference", "f") in {(c["kind"], c["name"]) for c in p.calls}
+
+
+def test_symbols_decide_and_are_kept(spark):
+    from factloom.sources.javasource import parse_files
+
+    source = "class A { void f() { b.go(); c.go(); } void g() {} } class B { void go() {} }"
+    parsed = parse_files(spark.createDataFrame([("A.java", source)], "relpath string, text string"))
+    sites = "relpath string, line int, col int, name string, kind string, resolution string, declaring string, signature string, target_kind string"
+    known = [("A.java", 1, 24, "go", "invocation", "expr", "kd.bos.X", "go()", "jar"), ("A.java", 1, 99, "extra", "invocation", "scope", "p.Q", None, "jdk"), ("Z.java", 1, 1, "lost", "invocation", "failed", None, None, None)]
+    rows = build.call_edges(parsed, spark.createDataFrame(known, sites)).collect()
+    found = {(r["caller_method"], r["target_method"], r["target_fqn"], r["resolution"], r["target_kind"]) for r in rows}
+    assert ("f", "go", "kd.bos.X", "expr", "jar") in found and (None, "lost", None, "failed", None) in found
+    assert any(r[1] == "extra" and r[2] == "p.Q" and r[3] == "scope" for r in found)
+
+
+def test_entry_keys_and_aliases(spark):
+    rows = spark.createDataFrame([("f1", "lines", "entry"), ("f2", "lines", "entry"), ("f1", "both", "entry"), ("f2", "both", "header")], "form_key string, key string, level string")
+    assert {r["key"]: r["level"] for r in build.entity_levels(rows).collect()} == {"lines": "entry", "both": None}
