@@ -33,7 +33,7 @@ def test_candidates_from_three_signals(spark, project):
     parsed = parse_files(scan.scan(spark, project))
     prefixes = spark.createDataFrame([("acme_",)], "prefix string")
     found = {r["key"]: r for r in reports.discover_candidates(parsed, formxml.read_models(spark, project), prefixes).collect()}
-    assert set(found) == {"bd_base", "bd_vendor", "bd_other", "bd_run", "other_form"}
+    assert set(found) == {"bd_base", "bd_vendor", "bd_other", "bd_run", "other_form", "third_form"}
     assert found["bd_base"]["leads"] and found["bd_vendor"]["orm"] == 2 and found["bd_run"]["operation"] == 1 and "U.java:1" in found["bd_vendor"]["evidence"]
 
 
@@ -94,7 +94,7 @@ def test_command_line_and_web(spark, project, tmp_path, capsys):
     assert cli.main(["--kb", folder, "--json", "trace", "acme_card.acme_no"], spark) == 0
     # two forms register the plugin, so its accesses stay open, with their reasons
     answer = json.loads(capsys.readouterr().out)
-    assert answer["total"] == 0 and sum(answer["summary"].values()) == 3
+    assert answer["total"] == 0 and sum(answer["summary"].values()) == 4
     assert cli.main(["--kb", folder, "trace", "acme_no"], spark) == 3 and "candidates" in capsys.readouterr().out
     assert cli.main(["--kb", folder, "trace", "a.b.c.d.e"], spark) == 2 and cli.main(["--kb", folder, "overview"], spark) == 0
     from factloom.sources.store import open_kb
