@@ -81,3 +81,35 @@ def test_no_labels_nulls_and_long(spark):
     assert found == [("1", "", "allow"), ("1", "", "allow"), ("2", "a.com", "allow"), ("None", "a.net", "block")]
     assert u.judge_pages(p.limit(0), URL_RULES, rules).count() == 0
     assert len(u.tokens_of("http://" + "a." * 9999 + "com/?" + "&".join("q" * 9999))) <= 10
+
+
+@pytest.mark.parametrize(
+    ("url", "tokens"),
+    [
+        ("http://cheap-pills.example.org/x/adult/buy_now.html?page=2&ref=x", {"siteword=pills", "step=adult", "fileword=buy", "fileword=now", "query=ref"}),
+        ("http://free-bets.org/a/b", {"word=free", "word=bets", "dir=a", "step=b"}),
+        ("http://w.x.y.z.example.org/", {"sub=w", "label=x", "label=y", "site=z", "siteword=x"}),
+        ("http://a.org/?#x?y", {"query="}),
+    ],
+)
+def test_tokens_of_all_places(url, tokens):
+    assert tokens <= set(u.tokens_of(url)) and "query=y" not in u.tokens_of(url)
+
+
+PLACES = ["http://{}-pills.a.org/", "http://{}-bets.org/", "http://a.org/x{}/adult/1", "http://a.org/?{}=1&ref=2", "http://a.org/x/{}-buy.html"]
+
+
+@pytest.mark.parametrize("long", [u.LONG, 2])
+@pytest.mark.parametrize("place", PLACES)
+def test_later_words_and_steps_block(spark, monkeypatch, place, long):
+    monkeypatch.setattr(u, "LONG", long)
+    plain = place.replace("pills", "tea").replace("bets", "tea").replace("adult", "tea").replace("ref", "tea").replace("buy", "tea")
+    pages = [(i, (plain if i % 4 else place).format(f"w{i}"), "x") for i in range(120)]
+    p, q = frames(spark, pages, [(i, 1 if i % 4 else 0, 0) for i in range(120)])
+    judged = u.judge_pages(p, [], u.mine(u.labelled_tokens(p, q))).collect()
+    assert {r["page_id"]: r[u.VERDICT] for r in judged} == {i: "allow" if i % 4 else "block" for i in range(120)}
+
+
+def test_length_of_rules():
+    assert u.rule_length({3: 10}) == 3 and u.rule_length({10: 100, 18: 20}) > 3
+    assert u.rule_length({50: 1000}) == 1 and u.rule_length({50: 1, 10: 100_000}) >= 3 and u.rule_length({5000: 5}) == 1
