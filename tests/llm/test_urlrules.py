@@ -113,3 +113,11 @@ def test_later_words_and_steps_block(spark, monkeypatch, place, long):
 def test_length_of_rules():
     assert u.rule_length({3: 10}) == 3 and u.rule_length({10: 100, 18: 20}) > 3
     assert u.rule_length({50: 1000}) == 1 and u.rule_length({50: 1, 10: 100_000}) >= 3 and u.rule_length({5000: 5}) == 1
+
+
+def test_fragments_block(spark):
+    pages = [(i, f"http://a{i}.org/{i}" + ("" if i % 4 else "#x"), "x") for i in range(120)]
+    p, q = frames(spark, pages, [(i, 1 if i % 4 else 0, 0) for i in range(120)])
+    judged = u.judge_pages(p, [], u.mine(u.labelled_tokens(p, q))).collect()
+    assert {r["page_id"]: r[u.VERDICT] for r in judged} == {i: "allow" if i % 4 else "block" for i in range(120)}
+    assert not any(t.startswith("fragment") for t in u.tokens_of("http://a.org/?x"))
