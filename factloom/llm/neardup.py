@@ -47,7 +47,8 @@ WIDTH, TREES, BRANCHES, DEPTH, SMALL = 64, 10, 2, 4, 128
 #: Candidates agree in so many of the WIDTH minwise tokens (4.6 deviations below 0.75).
 AGREE = 32
 #: In a large node: from here on linked to its hub, from here on at it and not branched further.
-NEAR_HUB, AT_HUB = 26, 52
+AT_HUB = 52
+NEAR_HUB = AT_HUB + AGREE - WIDTH
 #: Bounds of a block of full sets, and hubs of a group.
 BLOCK_SETS, BLOCK_SHINGLES, HUBS = 128, 1_000_000, 4
 
@@ -151,8 +152,10 @@ def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Large nodes (node, id, hub, tokens, hub_tokens) to the children that the
     node's path selects, and to links with the hub (node is null).
 
-    Who is very like the hub leaves the node: whatever is alike to it is fairly
-    like the hub, by the triangle inequality of the Jaccard distance, and linked to it.
+    Who is very like the hub leaves the node: what agrees with it in AGREE tokens
+    agrees with the hub in NEAR_HUB, since each place where it differs from the
+    hub is one where it differs from that set or that set from the hub. So it is
+    linked to the hub, and only pairs that AGREE leaves out are lost here.
     """
     for batch in batches:
         nodes = batch.column(0).to_numpy().view(np.uint64)

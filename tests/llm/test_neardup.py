@@ -112,3 +112,16 @@ def test_components(spark, monkeypatch, block):
         got = {r["id"]: r["component"] for r in found}
         assert len(got) == len(found)
         assert all(got.get(x, x) == ids[parent[at[x]]] for x in ids)
+
+
+def test_who_is_alike_to_a_set_at_the_hub_is_linked_to_it(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    hub = np.arange(neardup.WIDTH, dtype=np.uint32)
+    at, near = hub.copy(), hub.copy()
+    at[-(neardup.WIDTH - neardup.AT_HUB) :] += 1000
+    near[-(neardup.WIDTH - neardup.AT_HUB) :] = at[-(neardup.WIDTH - neardup.AT_HUB) :]
+    near[neardup.TREES : neardup.TREES + neardup.WIDTH - neardup.AGREE] += 2000
+    assert (at == hub).sum() == neardup.AT_HUB and (at == near).sum() == neardup.AGREE
+    rows = [(i, bytearray(x.tobytes())) for i, x in enumerate((hub, at, near))]
+    links = neardup.candidate_links(spark.createDataFrame(rows, "id long, tokens binary")).collect()
+    assert {(2, 0), (1, 0)} <= {(r["a"], r["b"]) for r in links}
