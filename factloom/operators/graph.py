@@ -7,6 +7,8 @@ short and survive lost executors. Only counts reach the driver.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,14 +62,15 @@ def callers_of(edges: DataFrame, caller: str, target: str, start: str, max_depth
     return reachable(edges, target, caller, first, max_depth).select("node", "depth")
 
 
-def closure_to_bases(parents: DataFrame, child: str, parent: str, bases: DataFrame, max_depth: int) -> DataFrame:
+def closure_to_bases(parents: DataFrame, child: str, parent: str, bases: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, base, depth): the nearest base above each node, itself excluded; a direct
-    base wins over farther ones, the smaller name on ties. Cycles end by ``max_depth``."""
+    base wins over farther ones, the smaller name on ties. Without ``max_depth``, to the end:
+    known nodes do not come again, so cycles end too."""
     steps = parents.select(F.col(child).alias("node"), F.col(parent).alias("up")).where("up is not null and node <> up").distinct()
     known = bases.select(F.col("base").alias("up")).distinct()
     found = written(steps.join(known, "up").groupBy("node").agg(F.min("up").alias("base")).withColumn("depth", F.lit(1)), "closure")
     level = found
-    for depth in range(2, max_depth + 1):
+    for depth in count(2) if max_depth is None else range(2, max_depth + 1):
         up = level.select(F.col("node").alias("up"), "base")
         new = steps.join(up, "up").groupBy("node").agg(F.min("base").alias("base")).join(found.select("node"), "node", "left_anti")
         level, n = written_counted(new.withColumn("depth", F.lit(depth)), "closure")

@@ -102,7 +102,7 @@ def source_classes(parsed: DataFrame) -> DataFrame:
     spark = parsed.sparkSession
     parents = types.select(F.col("simple").alias("child"), F.explode("supers").alias("parent"))
     bases = events.base_table(spark).select("base")
-    above = graph.closure_to_bases(parents, "child", "parent", bases, 12).select(F.col("node").alias("simple"), F.col("base").alias("plugin_base"))
+    above = graph.closure_to_bases(parents, "child", "parent", bases).select(F.col("node").alias("simple"), F.col("base").alias("plugin_base"))
     return types.join(above, "simple", "left").select("fqn", "simple", "package", "relpath", "plugin_base", F.col("line"))
 
 

@@ -469,14 +469,15 @@ def read_source(kb: KnowledgeBase, relpath: str, text: str, max_keys: int = 60)
     here = here.groupBy(F.col("field_key").alias("key")).agg(F.array_sort(F.collect_set("form_key")).alias("resolved_forms"))
     rows = forms.join(here, "key", "left")
     tier = F.when(F.col("forms") <= 1, "unique").when(F.col("resolved_forms").isNotNull(), "resolved").otherwise("ambiguous")
-    keys = rows_of(rows.select("key", tier.alias("tier"), "in_forms", "resolved_forms", F.when(tier != "ambiguous", F.col("name")).alias("name")).orderBy("key").limit(max_keys + 1))
+    total = rows.count()
+    keys = rows_of(rows.select("key", tier.alias("tier"), "in_forms", "resolved_forms", F.when(tier != "ambiguous", F.col("name")).alias("name")).orderBy("key").limit(max_keys))
     found = list(dict.fromkeys(re.findall(r"\b([A-Z]\w*)\.([A-Z][A-Z0-9_]{2,})\b", text)))[:300]
     constants = []
     if found:
         refs = kb.spark.createDataFrame(found, "class_name string, const_name string")
         definitions = kb.table("java_constant").select("class_name", "const_name", "literal")
         constants = rows_of(resolve.resolve_constants(refs, definitions, "class_name", "const_name", "literal").orderBy("class_name", "const_name"))
-    return {"relpath": relpath, "keys": keys[:max_keys], "keys_capped": max(0, len(keys) - max_keys), "constants": constants}
+    return {"relpath": relpath, "keys": keys, "keys_capped": max(0, total - max_keys), "constants": constants}
 
 
 def search(kb: KnowledgeBase, query: str) -> list[dict]:

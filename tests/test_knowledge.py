@@ -137,3 +137,10 @@ def test_pages_hold_every_row(spark, kb):
     long = {"a": ["x" * 100] * 1000, "b": list(range(50))}
     got = k.within_budget(long, ["a", "b"], 5000)
     assert len(got["a"]) + got["a_capped"] == 1000
+
+
+def test_read_source_counts_all_keys_left_out(kb):
+    text = "amount status billno entry_id"
+    whole = k.read_source(kb, "CardService.java", text)
+    capped = k.read_source(kb, "CardService.java", text, max_keys=0)
+    assert whole["keys_capped"] == 0 and capped["keys"] == [] and capped["keys_capped"] == len(whole["keys"]) > 1

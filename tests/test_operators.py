@@ -200,3 +200,9 @@ def test_majority_and_intersection(spark):
     assert {(r["g"], r["v"], r["votes"]) for r in rank.majority(rows, ["g"], "v", [F.col("v")]).collect()} == {("f", "m2", 2), ("g", "a", 1)}
     cand = spark.createDataFrame([("r", "k1", "A"), ("r", "k1", "B"), ("r", "k2", "B"), ("s", "k1", "A"), ("s", "k1", "B")], "g string, k string, c string")
     assert [tuple(r) for r in resolve.only_candidate(cand, ["g"], "c", "k").collect()] == [("r", "B")]
+
+
+def test_closure_follows_long_and_cyclic_chains_to_the_end(spark):
+    parents = [("c0", "Base"), *((f"c{i}", f"c{i - 1}") for i in range(1, 16)), ("c3", "c9"), ("x", "y"), ("y", "x")]
+    found = graph.closure_to_bases(spark.createDataFrame(parents, "c string, p string"), "c", "p", spark.createDataFrame([("Base",)], "base string"))
+    assert {(r["node"], r["base"], r["depth"]) for r in found.collect()} == {(f"c{i}", "Base", i + 1) for i in range(16)}
