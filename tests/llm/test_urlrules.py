@@ -121,3 +121,11 @@ def test_fragments_block(spark):
     judged = u.judge_pages(p, [], u.mine(u.labelled_tokens(p, q))).collect()
     assert {r["page_id"]: r[u.VERDICT] for r in judged} == {i: "allow" if i % 4 else "block" for i in range(120)}
     assert not any(t.startswith("fragment") for t in u.tokens_of("http://a.org/?x"))
+
+
+@pytest.mark.parametrize("good", [30, 0])
+def test_rules_where_most_pages_are_bad(spark, good):
+    pages = [(i, f"http://{'tea' if i < good else 'pills'}-a.org/{i}", "x") for i in range(120)]
+    p, q = frames(spark, pages, [(i, 1 if i < good else 0, 0) for i in range(120)])
+    judged = u.judge_pages(p, [], u.mine(u.labelled_tokens(p, q))).collect()
+    assert {r["page_id"]: r[u.VERDICT] for r in judged} == {i: "allow" if i < good else "block" for i in range(120)}
