@@ -2,7 +2,10 @@
 
 The tables are not code and metadata, so each query maps columns of theirs onto
 the roles of an operator; the operators are those that the knowledge-base plans
-use. Every query runs over its whole tables.
+use. Not every query takes all rows: ``cooccur_intersection`` resolves one order
+in five, the extension side of ``vendor_merge`` is one order in seven and one in
+997, and ``reverse_bfs`` and ``entry_chain_terminals`` take lineitems of a
+quantity of 49 or more, with keys folded to 400 nodes.
 """
 
 from __future__ import annotations
