@@ -4,17 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders made by ``new_path`` since the innermost open ``scratch`` began.
+_open: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: the session's
-    ``spark.checkpoint.dir``, or a temporary folder where that is unset (on one machine)."""
+    ``spark.checkpoint.dir``. Where that is unset, a temporary folder if all of Spark
+    runs in this process, else an error: executors would each write to a disk of their own."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="factloom-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
@@ -22,7 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/factloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/factloom/{label}-{uuid.uuid4().hex}"
+    for paths in _open:
+        paths.append(path)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -39,10 +50,34 @@ def written_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     return out, seen.get["n"]
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``written`` made."""
-    context = df.sparkSession.sparkContext
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for folder in _folders(df):
         if "/factloom/" in folder:
-            path = context._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables written inside are deleted at the end, but for those that the frames put
+    into the list read; nothing lazy that needs the others may leave the block."""
+    kept: list[DataFrame] = []
+    _open.append([])
+    try:
+        yield kept
+    finally:
+        made = _open.pop()
+        needed = {f.rsplit("/", 1)[-1] for df in kept for f in _folders(df)}
+        for path in made:
+            if path.rsplit("/", 1)[-1] not in needed:
+                _delete(spark, path)
