@@ -1,20 +1,33 @@
 """Exact top-k search by inner product: a Voronoi join.
 
-Vectors become whole numbers, ``floor(SCALE * x)``. Pivots, a bounded sample of
-the data, cut the space into cells. For each cell of queries, its radius and
-the data vectors nearest to every pivot (the summaries) give a score that each
-of its queries reaches at least K times; a data vector goes to a cell's group
-only if the bound ``p.x + radius * |x|`` on its score with any query there
-reaches that. Groups of cells, of a bounded number of queries, and chunks of
-the data are solved on their own and merged by rank.
-
-Equal data vectors cannot crowd a task: chunks are dealt by id. A group's
-queries times a chunk's rows is the most that a task holds.
-
-Defined cases: vectors that are null or hold a null or non-finite component,
-and rows with a null id, take no part; vectors of different lengths are not
-compared; rows that repeat an id compete each as data, but are one query (that
-with the smallest vector); components and scores beyond 64 bits are cut to them.
+Vectors become whole numbers, ``floor(SCALE * x)``. Pivots, the centres of a
+bounded sample, cut the space into cells; each vector knows its cell and its
+distance to that cell's pivot.
+
+1. Summaries: the data vectors nearest to every pivot. Each query scores all of
+   them; its Kth best score there is one that its answer reaches.
+2. Bounds: for a cell C of queries with pivot c and radius r, and a data vector x
+   of a cell with pivot p, the score of any query q of C is at most
+   ``c.x + max((q - c).p) + r * |x - p|``. The maxima, one for each pair of a
+   query cell and a pivot, and the least score that a query of C must reach are
+   gathered in one pass over the queries.
+3. Groups: a data vector goes to the cells of queries whose bound it reaches.
+   Cells are merged while sending what they share once costs less than comparing
+   all queries of both to all that either needs, estimated on a bounded sample;
+   the merge changes the work, never the result. Where nothing can be pruned all
+   cells become few groups; where data are clustered each stays alone.
+4. A group's queries are held by a task, at most ``GROUP_QUERIES``; its data
+   stream past them in chunks of at most ``CHUNK_ROWS`` rows. A query goes to as
+   many chunks as its own group has. The bests of chunks are merged by rank.
+
+Equal data vectors cannot crowd a task: chunks are dealt by id.
+
+Defined cases: vectors that are null or hold a null or non-finite component, and
+rows with a null id, take no part; vectors of different lengths are not compared;
+rows that repeat an id compete each as data, but are one query (that with the
+smallest vector); equal scores go by the smaller id; components and scores beyond
+64 bits are cut to them; a table without queries or data gives no rows; columns
+other than vec_id and embedding are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,12 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import groups_of, written
+from factloom.llm.common import pieces, written
 
 K = 10
 SCALE = 1024
-#: Bounds: pivots and their bytes, queries of a group.
-MOST_PIVOTS, PIVOT_BYTES, GROUP_QUERIES = 512, 16_000_000, 32_768
+#: Bounds: pivots and their bytes, queries of a group, and data rows of a chunk (fewer while there are idle cores).
+MOST_PIVOTS, PIVOT_BYTES, GROUP_QUERIES, CHUNK_ROWS, LEAST_CHUNK = 512, 16_000_000, 32_768, 1_000_000, 8_192
+#: Vectors that the merge of cells is estimated on; comparing a pair of vectors costs so much of sending one.
+ESTIMATE_ROWS, PAIR_COST = 4096, 0.01
 _EXACT = 2.0**53
 
 
@@ -65,6 +80,22 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
+def centres(sample: np.ndarray, wanted: int) -> np.ndarray:
+    """Pivots of a sample: far apart at first, then moved to the means of their cells."""
+    chosen, apart = [0], ((sample - sample[0]) ** 2).sum(1)
+    while len(chosen) < wanted and apart.max() > 0:
+        chosen.append(int(apart.argmax()))
+        apart = np.minimum(apart, ((sample - sample[chosen[-1]]) ** 2).sum(1))
+    pivots = sample[chosen]
+    for _ in range(4):
+        cell = ((pivots**2).sum(1) - 2 * sample @ pivots.T).argmin(axis=1)
+        counts = np.bincount(cell, minlength=len(pivots))
+        sums = np.zeros_like(pivots)
+        np.add.at(sums, cell, sample)
+        pivots = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], pivots)
+    return np.unique(pivots, axis=0)
+
+
 @dataclass
 class Pivots:
     """Pivots by vector length; a length without any has the zero vector."""
@@ -76,29 +107,29 @@ class Pivots:
 
     def nearest(self, dim: int, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pivots, x = self.of(dim), vectors.astype(np.float64)
-        squares = (x**2).sum(1)[:, None] - 2 * x @ pivots.T + (pivots**2).sum(1)
-        cell = squares.argmin(axis=1)
+        cell = ((pivots**2).sum(1) - 2 * x @ pivots.T).argmin(axis=1)
         # from the difference itself: small distances don't survive the expanded form
         return cell, np.sqrt(((x - pivots[cell]) ** 2).sum(1))
 
 
 def choose_pivots(vectors: DataFrame, count: int) -> Pivots:
-    wanted = min(MOST_PIVOTS, math.ceil(math.sqrt(count) / 4))
-    found: dict[int, dict[bytes, np.ndarray]] = {}
+    wanted = min(MOST_PIVOTS, math.ceil(math.sqrt(count)))
+    found: dict[int, list[np.ndarray]] = {}
     size = 0
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(2 * wanted)
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(4 * wanted)
     for row in sample.toLocalIterator():
         vector = np.array(row["vec"], np.float64)
         size += vector.nbytes
-        mine = found.setdefault(row["dim"], {})
-        if size <= PIVOT_BYTES and len(mine) < wanted:
-            mine[vector.tobytes()] = vector
-    return Pivots({dim: np.stack(list(x.values())) for dim, x in found.items() if x})
+        if size <= PIVOT_BYTES:
+            found.setdefault(row["dim"], []).append(vector)
+    return Pivots({dim: centres(np.stack(x), wanted) for dim, x in found.items()})
 
 
 def assigned(vectors: DataFrame, pivots: Pivots) -> DataFrame:
+    """vec_id, dim, vec, and the cell and the distance to its pivot."""
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             cell, apart = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
             for dim, rows, matrix in by_length(batch.column(1), batch.column(2)):
                 cell[rows], apart[rows] = pivots.nearest(dim, matrix)
@@ -107,140 +138,270 @@ def assigned(vectors: DataFrame, pivots: Pivots) -> DataFrame:
     return vectors.mapInArrow(assign, "vec_id long, dim int, vec array<long>, cell int, apart double")
 
 
+def summaries(data: DataFrame, queried: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length with queries: ids and vectors of the K + 1 data vectors nearest to every pivot."""
+    place = F.row_number().over(Window.partitionBy("dim", "cell").orderBy("apart", "vec_id"))
+    rows = data.join(F.broadcast(queried.select("dim").distinct()), "dim", "left_semi").withColumn("place", place).where(F.col("place") <= K + 1)
+    found: dict[int, dict[int, np.ndarray]] = {}
+    for row in rows.select("dim", "vec_id", "vec").toLocalIterator():
+        found.setdefault(row["dim"], {})[row["vec_id"]] = np.array(row["vec"], np.float64)
+    return {dim: (np.array(list(x)), np.stack(list(x.values()))) for dim, x in found.items()}
+
+
 @dataclass
-class Group:
-    """Cells of queries that are solved together, and what their data must reach."""
+class Cells:
+    """The cells of one length that hold queries, and what data must reach for them."""
 
     dim: int
-    cells: list[int]
-    pivots: np.ndarray
+    cells: np.ndarray
+    queries: np.ndarray
     radii: np.ndarray
     reach: np.ndarray
-
-    def needs(self, x: np.ndarray) -> np.ndarray:
-        norms = np.sqrt((x**2).sum(1))
-        bound = x @ self.pivots.T + norms[:, None] * self.radii
-        slack = 1e-9 * (norms[:, None] * (np.sqrt((self.pivots**2).sum(1)) + self.radii) + 1)
-        return (bound + slack >= self.reach).any(axis=1)
+    towards: np.ndarray
+    """``towards[i, p]``: the greatest product of a query's difference from its pivot with pivot p."""
+    group: np.ndarray
+
+    def needed(self, pivots: np.ndarray, x: np.ndarray, cell: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        """needed[i, c]: whether row i may be in the answer of a query of cell c."""
+        own = pivots[self.cells]
+        bound = x @ own.T + self.towards[:, cell].T + apart[:, None] * self.radii
+        size = np.sqrt((x**2).sum(1))[:, None] + np.sqrt((pivots[cell] ** 2).sum(1))[:, None]
+        slack = 1e-9 * (size * (np.sqrt((own**2).sum(1)) + self.radii) + 1)
+        return bound + slack >= self.reach
+
+
+BOUNDS = "dim int, cell int, n long, radius double, reach double, towards array<double>"
+
+
+def query_bounds(queries: DataFrame, pivots: Pivots, near: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """BOUNDS of each cell with queries, one row of bounded size."""
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], list] = {}
+        for batch in pieces(batches):
+            ids, cells, aparts = (batch.column(k).to_numpy() for k in ("vec_id", "cell", "apart"))
+            for dim, rows, matrix in by_length(batch.column("dim"), batch.column("vec")):
+                x, points = matrix.astype(np.float64), pivots.of(dim)
+                names, summary = near[dim]
+                reach = np.full(len(x), -np.inf)
+                if len(names) > K:
+                    scores = x @ summary.T
+                    # rounding in the products must not raise what has to be reached
+                    scores -= 1e-9 * (np.sqrt((x**2).sum(1))[:, None] * np.sqrt((summary**2).sum(1)) + 1)
+                    scores[names == ids[rows][:, None]] = -np.inf
+                    reach = np.partition(scores, -K, axis=1)[:, -K]
+                own = cells[rows]
+                towards = (x - points[own]) @ points.T
+                for c in np.unique(own).tolist():
+                    at = np.flatnonzero(own == c)
+                    part = [len(at), aparts[rows][at].max(), reach[at].min(), towards[at].max(axis=0)]
+                    if old := found.get((dim, c)):
+                        part = [old[0] + part[0], max(old[1], part[1]), min(old[2], part[2]), np.maximum(old[3], part[3])]
+                    found[dim, c] = part
+        rows = [{"dim": d, "cell": c, "n": v[0], "radius": v[1], "reach": v[2], "towards": v[3].tolist()} for (d, c), v in found.items()]
+        kinds = [("dim", pa.int32()), ("cell", pa.int32()), ("n", pa.int64()), ("radius", pa.float64()), ("reach", pa.float64()), ("towards", pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
+
+    return queries.mapInArrow(bounds, BOUNDS)
+
+
+def cells_of(bounds: DataFrame, pivots: Pivots) -> dict[int, Cells]:
+    found: dict[int, dict[int, list]] = {}
+    for row in bounds.toLocalIterator():
+        mine = found.setdefault(row["dim"], {})
+        part = [row["n"], row["radius"], row["reach"], np.array(row["towards"])]
+        if old := mine.get(row["cell"]):
+            part = [old[0] + part[0], max(old[1], part[1]), min(old[2], part[2]), np.maximum(old[3], part[3])]
+        mine[row["cell"]] = part
+    out = {}
+    for dim, mine in found.items():
+        order = sorted(mine)
+        columns = [np.array([mine[c][i] for c in order]) for i in range(4)]
+        out[dim] = Cells(dim, np.array(order), columns[0], columns[1], columns[2], columns[3].reshape(len(order), -1), np.arange(len(order)))
+    return out
+
+
+def merge_cells(needed: np.ndarray, queries: np.ndarray, rows: float) -> np.ndarray:
+    """Group number of each cell. ``needed`` tells which of a sample's vectors each cell
+    needs, ``rows`` how many vectors each of the sample stands for."""
+    group = np.arange(len(queries))
+    live = group.tolist()
+    need, asked = needed.T.astype(np.float32), queries.astype(np.float64)
+    sent = need.sum(axis=1) * rows
+    while len(live) > 1:
+        at = np.array(live)
+        both = (need[at] @ need[at].T) * rows
+        union = sent[at][:, None] + sent[at] - both
+        total = asked[at][:, None] + asked[at]
+        alone = sent[at] * (1 + PAIR_COST * asked[at])
+        gain = alone[:, None] + alone - union * (1 + PAIR_COST * total)
+        gain[total > GROUP_QUERIES] = -np.inf
+        np.fill_diagonal(gain, -np.inf)
+        # every cell's best partner; pairs that share none are merged at once
+        used: set[int] = set()
+        order = np.argsort(-gain.max(axis=1), kind="stable")
+        for i in order.tolist():
+            j = int(gain[i].argmax())
+            if gain[i, j] >= 0 and i not in used and j not in used:
+                a, b = sorted((live[i], live[j]))
+                group[group == b] = a
+                need[a] = np.maximum(need[a], need[b])
+                asked[a] += asked[b]
+                sent[a] = need[a].sum() * rows
+                used |= {i, j}
+        if not used:
+            break
+        live = sorted(set(group.tolist()))
+    return np.unique(group, return_inverse=True)[1]
 
 
-def make_groups(queries: DataFrame, data: DataFrame, pivots: Pivots) -> list[Group]:
-    """Bounds for every cell with queries, from summaries of bounded size."""
-    cells = queries.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("apart").alias("radius")).collect()
-    place = F.row_number().over(Window.partitionBy("dim", "cell").orderBy("apart", "vec_id"))
-    near: dict[int, dict[int, np.ndarray]] = {}
-    for row in data.withColumn("place", place).where(F.col("place") <= K + 1).select("dim", "vec_id", "vec").toLocalIterator():
-        near.setdefault(row["dim"], {})[row["vec_id"]] = np.array(row["vec"], np.float64)
-    groups = []
-    for dim in sorted({c["dim"] for c in cells}):
-        mine = {c["cell"]: c for c in cells if c["dim"] == dim}
-        summary = np.stack(list(near[dim].values()))
-        norms = np.sqrt((summary**2).sum(1))
-        points = pivots.of(dim)
-        # neighbouring cells share a group: a chain of nearest pivots
-        rest, chain = sorted(mine), []
-        while rest:
-            last = points[chain[-1]] if chain else points[rest[0]]
-            chain.append(min(rest, key=lambda c: (float(((points[c] - last) ** 2).sum()), c)))
-            rest.remove(chain[-1])
-        batch: list[int] = []
-        for i, cell in enumerate(chain):
-            batch.append(cell)
-            if i + 1 == len(chain) or sum(mine[c]["n"] for c in batch) + mine[chain[i + 1]]["n"] > GROUP_QUERIES:
-                p, r = points[batch], np.array([mine[c]["radius"] for c in batch])
-                reach = np.full(len(batch), -np.inf)
-                if len(summary) > K:
-                    least = p @ summary.T - r[:, None] * norms
-                    reach = np.partition(least, len(summary) - K - 1, axis=1)[:, len(summary) - K - 1]
-                groups.append(Group(dim, batch, p, r, reach))
-                batch = []
-    return groups
+@dataclass
+class Plan:
+    """What is sent where: pivots, cells by vector length, and the data rows of each group."""
+
+    data: DataFrame
+    queries: DataFrame
+    pivots: Pivots
+    cells: dict[int, Cells]
+
+    def groups(self) -> list[tuple[int, int]]:
+        """(dim, group) of every group; a group's number is its place here."""
+        return [(dim, g) for dim, c in sorted(self.cells.items()) for g in range(int(c.group.max()) + 1)]
+
+    def sent(self) -> DataFrame:
+        """grp, vec_id, vec: each data vector once for each group that may need it."""
+        pivots, cells, number = self.pivots, self.cells, {g: i for i, g in enumerate(self.groups())}
+
+        def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches):
+                cell, apart = batch.column("cell").to_numpy(), batch.column("apart").to_numpy()
+                for dim, rows, matrix in by_length(batch.column("dim"), batch.column("vec")):
+                    if dim not in cells:
+                        continue
+                    mine = cells[dim]
+                    needed = mine.needed(pivots.of(dim), matrix.astype(np.float64), cell[rows], apart[rows])
+                    for g in range(int(mine.group.max()) + 1):
+                        chosen = pa.array(rows[needed[:, mine.group == g].any(axis=1)])
+                        if n := len(chosen):
+                            columns = [batch.column("vec_id").take(chosen), batch.column("vec").take(chosen)]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number[dim, g], np.int32)), *columns], names=["grp", "vec_id", "vec"])
+
+        return self.data.mapInArrow(replicate, "grp int, vec_id long, vec array<long>")
+
+    def replication(self) -> float:
+        """Data rows sent over all data rows."""
+        return self.sent().count() / max(1, self.data.count())
+
+
+def plan(table: DataFrame, queries_every: int = 100) -> Plan:
+    vectors = whole_vectors(table)
+    count = vectors.count()
+    pivots = choose_pivots(vectors, count)
+    data = written(assigned(vectors, pivots), "assigned")
+    queries = data.where(F.col("vec_id") % queries_every == 0).groupBy("vec_id").agg(F.min(F.struct("vec", "dim", "cell", "apart")).alias("v"))
+    queries = written(queries.select("vec_id", "v.vec", "v.dim", "v.cell", "v.apart"), "queries")
+    cells = cells_of(query_bounds(queries, pivots, summaries(data, queries)), pivots)
+    sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(ESTIMATE_ROWS).select("dim", "vec", "cell", "apart").collect() if cells else []
+    for dim, mine in cells.items():
+        rows = [r for r in sample if r["dim"] == dim]
+        if rows:
+            x, cell, apart = (np.array([r[k] for r in rows]) for k in ("vec", "cell", "apart"))
+            mine.group = merge_cells(mine.needed(pivots.of(dim), x.astype(np.float64).reshape(len(rows), dim), cell, apart), mine.queries, count / len(sample))
+    return Plan(data, queries, pivots, cells)
+
+
+class Best:
+    """The K best of a group's queries so far."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.ids, self.vectors = ids, vectors
+        self.least = np.full(len(ids), np.iinfo(np.int64).min)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def offer(self, names: np.ndarray, data: np.ndarray) -> None:
+        step = max(1, 2_000_000 // max(1, len(self.ids)))
+        for at in range(0, len(names), step):
+            part, scores = names[at : at + step], products(self.vectors, data[at : at + step])
+            query, row = np.nonzero((scores >= self.least[:, None]) & (part != self.ids[:, None]))
+            self.held.append((query, part[row], scores[query, row]))
+            self.size += len(query)
+            if self.size > 2 * K * len(self.ids) + 100_000:
+                self.shrink()
+
+    def shrink(self) -> None:
+        query, names, scores = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((names, ~scores, query))  # ~ turns the order without overflow
+        query, names, scores = query[order], names[order], scores[order]
+        first = np.searchsorted(query, query)
+        place = np.arange(len(query)) - first
+        self.least[query[place == K - 1]] = scores[place == K - 1]
+        kept = place < K
+        self.held = [(query[kept], names[kept], scores[kept])]
+        self.size = int(kept.sum())
+
+    def rows(self) -> pa.RecordBatch:
+        if self.held:
+            self.shrink()
+        query, names, scores = self.held[0] if self.held else (np.empty(0, np.int64),) * 3
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[query]), pa.array(names), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A group's queries and a chunk of its data: K best of each query."""
-    for table in groups_of(batches, ["grp", "part", "chunk"], rows=1):
-        table = table.combine_chunks()
-        keys = np.stack([table.column(k).to_numpy() for k in ("grp", "part", "chunk")], axis=1)
+    """Rows (grp, part, chunk, data, vec_id, vec) in order: a group's queries, then its data."""
+    key, best, asked = None, None, []
+    for batch in pieces(batches):
+        keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("grp", "part", "chunk", "data")], axis=1)
+        ids, vectors = batch.column("vec_id").to_numpy(), batch.column("vec")
         cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-        out: list[tuple[np.ndarray, ...]] = []
         for lo, hi in zip(cuts, cuts[1:], strict=False):
-            block = table.slice(lo, hi - lo).combine_chunks()
-            ids, asks = block.column("vec_id").to_numpy(), block.column("asks").to_numpy(zero_copy_only=False)
-            vectors = block.column("vec").chunk(0)
-            matrix = vectors.flatten().to_numpy().reshape(len(ids), -1)
-            order = np.argsort(ids[~asks], kind="stable")
-            data, names = matrix[~asks][order], ids[~asks][order]
-            if not len(names):
+            own, is_data = tuple(keys[lo, :3].tolist()), keys[lo, 3]
+            if own != key:
+                if best is not None:
+                    yield best.rows()
+                key, best, asked = own, None, []
+            part = vectors.slice(lo, hi - lo)
+            matrix = part.flatten().to_numpy().reshape(hi - lo, -1)
+            if not is_data:
+                asked.append((ids[lo:hi], matrix))
                 continue
-            q_ids, q = ids[asks], matrix[asks]
-            step = max(1, 4_000_000 // len(names))
-            for at in range(0, len(q), step):
-                scores = products(q[at : at + step], data)
-                for query, row in zip(q_ids[at : at + step], scores, strict=True):
-                    mine = np.flatnonzero(names != query)
-                    row = row[mine]
-                    if len(row) > K:
-                        least = np.partition(row, len(row) - K)[len(row) - K]
-                        above = np.flatnonzero(row > least)
-                        chosen = np.concatenate((above, np.flatnonzero(row == least)[: K - len(above)]))
-                        mine, row = mine[chosen], row[chosen]
-                    out.append((np.full(len(row), query), names[mine], row))
-        arrays = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (zip(*out, strict=True) if out else ([], [], []))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "vec_id", "score"])
+            if best is None and asked:
+                best = Best(*(np.concatenate(x) for x in zip(*asked, strict=True)))
+            if best is not None:
+                best.offer(ids[lo:hi], matrix)
+    if best is not None:
+        yield best.rows()
 
 
 def top_k(table: DataFrame, queries_every: int = 100) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose id is divisible by ``queries_every``."""
-    vectors = whole_vectors(table)
-    count = vectors.count()
-    pivots = choose_pivots(vectors, count)
-    data = written(assigned(vectors, pivots), "assigned")
-    queries = data.where(F.col("vec_id") % queries_every == 0).groupBy("vec_id").agg(F.min(F.struct("vec", "dim", "cell", "apart")).alias("v"))
-    queries = written(queries.select("vec_id", "v.vec", "v.dim", "v.cell", "v.apart"), "queries")
-    groups = make_groups(queries, data, pivots)
-    chunks = max(1, math.ceil(math.sqrt(count) / 4))
-
-    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for dim, rows, matrix in by_length(batch.column(1), batch.column(2)):
-                x = matrix.astype(np.float64)
-                for number, group in enumerate(groups):
-                    if group.dim == dim:
-                        chosen = pa.array(rows[group.needs(x)])
-                        n = len(chosen)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(n, number, np.int32)), batch.column(0).take(chosen), batch.column(2).take(chosen)], names=["grp", "vec_id", "vec"]
-                        )
-
-    sent = data.select("vec_id", "dim", "vec").mapInArrow(replicate, "grp int, vec_id long, vec array<long>")
-    cells = [(n, g.dim, c) for n, g in enumerate(groups) for c in g.cells]
-    homes = table.sparkSession.createDataFrame(cells, "grp int, dim int, cell int")
-    # one cell may hold more queries than a group: parts of it are solved apart
-    sizes = queries.join(homes, ["dim", "cell"]).groupBy("grp").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("parts"))
-    parts = {r["grp"]: r["parts"] for r in sizes.collect()}
-    homes = table.sparkSession.createDataFrame([(*c, parts.get(c[0], 1)) for c in cells], "grp int, dim int, cell int, parts int")
-    groups_sizes = homes.select("grp", "parts").distinct()
-    asked = queries.join(F.broadcast(homes), ["dim", "cell"]).select(
-        "grp",
-        F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
-        "vec_id",
-        "vec",
-        F.lit(True).alias("asks"),
+    spark = table.sparkSession
+    found = plan(table, queries_every)
+    number = {g: i for i, g in enumerate(found.groups())}
+    sent = written(found.sent(), "sent")
+    sizes = {r["grp"]: r["count"] for r in sent.groupBy("grp").count().collect()}
+    rows = min(CHUNK_ROWS, max(LEAST_CHUNK, sum(sizes.values()) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    homes, works = [], []
+    for dim, mine in found.cells.items():
+        for g in range(int(mine.group.max()) + 1):
+            n = number[dim, g]
+            # one cell may hold more queries than a group: parts of it are solved apart
+            work = n, max(1, -(-int(mine.queries[mine.group == g].sum()) // GROUP_QUERIES)), max(1, -(-sizes.get(n, 0) // rows))
+            works.append(work)
+            homes += [(dim, int(c), *work) for c in mine.cells[mine.group == g]]
+    homes = spark.createDataFrame(homes, "dim int, cell int, grp int, parts int, chunks int")
+    works = spark.createDataFrame(works, "grp int, parts int, chunks int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = found.queries.join(F.broadcast(homes), ["dim", "cell"]).select(
+        "grp", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), upto("chunks").alias("chunk"), F.lit(False).alias("data"), "vec_id", "vec"
     )
-    offered = sent.join(F.broadcast(groups_sizes), "grp").select(
-        "grp",
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"),
-        "vec_id",
-        "vec",
-        F.lit(False).alias("asks"),
+    offered = sent.join(F.broadcast(works), "grp").select(
+        "grp", upto("parts").alias("part"), F.pmod(F.xxhash64("vec_id"), "chunks").cast("int").alias("chunk"), F.lit(True).alias("data"), "vec_id", "vec"
     )
     local = (
         asked.union(offered)
         .repartition("grp", "part", "chunk")
-        .sortWithinPartitions("grp", "part", "chunk")
+        .sortWithinPartitions("grp", "part", "chunk", "data")
         .mapInArrow(_solve, "query_id long, vec_id long, score long")
     )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

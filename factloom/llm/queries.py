@@ -12,7 +12,7 @@ from factloom.llm.common import arrow_batches, new_path, table, written
 
 
 def op1_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arrow_batches(spark, 1000)
+    arrow_batches(spark)
     return knn.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
@@ -34,14 +34,14 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arrow_batches(spark, 64)
+    arrow_batches(spark)
     manifest = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), new_path(spark, "warc"))
     records = warc.read_archives(manifest, with_data=False).where("last")
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arrow_batches(spark, 500)
+    arrow_batches(spark)
     index = trainorder.materialise(table(spark, sf_dir, "documents"), new_path(spark, "shards"))
     return trainorder.read_back(index).select("slot", "doc_id", "seq_no", "shard", "n_tokens", "crc32")
 
@@ -51,30 +51,30 @@ MODEL_PATH = os.environ.get("FACTLOOM_SPM_MODEL", "/opt/tokenizers/piece_bpe_32k
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arrow_batches(spark, 1000)
+    arrow_batches(spark)
     return neardup.label_documents(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arrow_batches(spark, 1000)
+    arrow_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = spm.with_tokens(docs, spm.read_model(MODEL_PATH), with_ids=False)
     return found.select("doc_id", *(F.col(spm.TOKENS)[x].alias(x) for x in ("n_tokens", "ids_sha256", "decodes")))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arrow_batches(spark, 1000)
+    arrow_batches(spark)
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op8_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arrow_batches(spark, 200)
+    arrow_batches(spark)
     found = htmltext.with_text(table(spark, sf_dir, "pages").select("page_id", "html"))
     return found.select("page_id", F.char_length(htmltext.TEXT).cast("long").alias("n_chars"), F.col(htmltext.TEXT).alias("text"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arrow_batches(spark, 1000)
+    arrow_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.judged(decontaminate.with_spans(docs, table(spark, sf_dir, "benchmark")))
     return found.select(

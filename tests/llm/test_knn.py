@@ -52,3 +52,35 @@ def test_tiny_tables(spark, rows):
         assert knn.top_k(spark.createDataFrame(rows, ROWS), 5).collect()[0]["score"] == 2**63 - 1
     else:
         check(spark, rows)
+
+
+def test_only_cells_with_queries_and_near_ones_are_sent(spark):
+    random.seed(6)
+    centres = [[random.uniform(-30, 30) for _ in range(8)] for _ in range(60)]
+    rows = [(i, [x + random.gauss(0, 0.05) for x in centres[i % 60]], "x") for i in range(1500)]
+    found = knn.plan(spark.createDataFrame(rows, ROWS), 300)
+    assert len(found.groups()) >= 1 and found.replication() < 0.25
+    check(spark, rows, every=300)
+
+
+def test_cells_that_need_different_data_stay_apart_and_others_merge():
+    import numpy as np
+
+    apart = np.kron(np.eye(3, dtype=bool), np.ones((100, 1), bool))
+    assert knn.merge_cells(apart, np.array([50, 50, 50]), 10.0).tolist() == [0, 1, 2]
+    assert knn.merge_cells(np.ones((100, 3), bool), np.array([50, 50, 50]), 10.0).tolist() == [0, 0, 0]
+    assert len(set(knn.merge_cells(np.ones((100, 3), bool), np.array([knn.GROUP_QUERIES] * 3), 10.0).tolist())) == 3
+
+
+def test_clashing_columns_are_not_read(spark):
+    rows = [(i, [float(i), 1.0], "c", "g", i) for i in range(12)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, dim string, cell string, grp long")
+    assert knn.top_k(frame, 6).count() == 20
+
+
+def test_chunks_and_parts_agree(spark, monkeypatch):
+    random.seed(7)
+    rows = [(i, [random.choice([-1.0, 0.5, 2.0]) for _ in range(3)], "x") for i in range(300)]
+    monkeypatch.setattr(knn, "CHUNK_ROWS", 40)
+    monkeypatch.setattr(knn, "GROUP_QUERIES", 7)
+    check(spark, rows, every=3)
