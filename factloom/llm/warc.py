@@ -1,10 +1,13 @@
 """WARC archives written from and read back to a chunked record table.
 
-A payload is never taken whole: it travels as rows (record identifier, chunk
+A payload is cut where it is read and travels as rows (record identifier, chunk
 number, at most ``CHUNK`` bytes), written and read in order, while a running
 SHA-1 is carried along. Each task writes archives of its own, one gzip member
 for each record; the names of the finished ones form the manifest, so what a
-lost or repeated task left behind is never read.
+lost or repeated task left behind is never read. Only keys are exchanged to find
+equal payloads (id, digest, size); groups of two pages or more go back to the scan
+by a broadcast, up to ``BROADCAST_GROUPS`` of them, by a join of the rows beyond.
+Each archive is read by a task of its own, up to ``MOST_READERS`` tasks.
 
 Of records with equal payloads of at least ``LEAST`` bytes, the one with the
 largest page_id is a response and the others are revisits that refer to it;
@@ -15,6 +18,9 @@ Defined cases: a null payload is empty; a null url is the record's identifier;
 rows that repeat a page_id and its payload have the same type (responses if the
 id is the largest) and the same identifier; a null page_id is smaller than any other, and if all of
 equal payload are null, each is a response; an empty table gives no archives.
+Columns other than page_id, url and html are not read, whatever their names. A
+payload is one value of the table (below 2 GB); neither writing nor reading holds
+more of it in Python than a chunk or a batch of chunks.
 """
 
 from __future__ import annotations
@@ -31,11 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import written
+from factloom.llm.common import pieces, written
+from factloom.storage import written_counted
 
 CHUNK = 262_144
 #: Bytes from which equal payloads are revisits, bytes after which a new archive begins, and gzip level.
 LEAST, ARCHIVE_BYTES, LEVEL = 0, 1_000_000_000, 4
+#: Groups of equal payloads that are broadcast (some 60 bytes each), and tasks that read archives.
+BROADCAST_GROUPS, MOST_READERS = 500_000, 20_000
 #: The tables have no crawl time.
 DATE = "2000-01-01T00:00:00Z"
 #: Fixed values of the format.
@@ -67,10 +76,11 @@ def classified(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"sha1": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
     # written before the join: a payload that many pages share can then be split among tasks
-    groups = written(rows.groupBy("sha1", "size").agg(F.max("page_id").alias("keeper")), "payloads")
-    refers = F.when((F.col("size") >= LEAST) & (F.col("keeper") != F.coalesce("page_id", F.col("keeper") - 1)), F.col("keeper"))
+    groups = rows.groupBy("sha1", "size").agg(F.max("page_id").alias("keeper"), F.count("*").alias("pages"))
+    groups, n = written_counted(groups.where((F.col("pages") > 1) & (F.col("size") >= LEAST)).drop("pages"), "payloads")
+    refers = F.when(F.col("keeper") != F.coalesce("page_id", F.col("keeper") - 1), F.col("keeper"))
     return (
-        rows.join(groups, ["sha1", "size"])
+        rows.join(F.broadcast(groups) if n <= BROADCAST_GROUPS else groups, ["sha1", "size"], "left")
         .withColumn("refers_to", refers)
         .withColumn("record_type", F.when(F.col("refers_to").isNull(), RESPONSE).otherwise(REVISIT))
     )
@@ -124,7 +134,7 @@ def _writer(folder: str):
         def end_record() -> None:
             put(packer.compress(b"\r\n\r\n") + packer.flush())
 
-        for batch in batches:
+        for batch in pieces(batches):
             columns = [c for c in batch.schema.names if c != "data"]
             for row, data in zip(batch.select(columns).to_pylist(), batch.column("data"), strict=True):
                 if row["chunk_no"] == 0:
@@ -273,4 +283,5 @@ def read_archives(manifest: DataFrame, with_data: bool = True) -> DataFrame:
             [pa.array([r[i] for r in rows], t) for i, t in enumerate(_ARROW)], names=[f.name for f in RECORD_CHUNKS]
         )
 
-    return manifest.select("path").repartition("path").mapInArrow(read, RECORD_CHUNKS)
+    readers = min(MOST_READERS, max(1, manifest.count()))
+    return manifest.select("path").repartitionByRange(readers, "path").mapInArrow(read, RECORD_CHUNKS)

@@ -65,3 +65,50 @@ def test_empty_and_oversized(spark):
     found = trip(spark, [(1, "u", big, "x")], with_data=False)[1].orderBy("chunk_no").collect()
     assert [r["payload_bytes"] for r in found] == [warc.CHUNK, 2 * warc.CHUNK, 3 * warc.CHUNK, len(big)]
     assert found[-1]["payload_digest"] == base64.b32encode(hashlib.sha1(big.encode()).digest()).decode()
+
+
+def test_join_of_rows_beyond_the_broadcast_agrees(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", 0)
+    rows = [(i, "u", f"page {i % 7}", "x") for i in range(40)] + [(99, "u", None, "x"), (98, "u", "", "x")]
+    found = trip(spark, rows, with_data=False)[1].where("last").collect()
+    assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found), key=str) == expected(rows)
+
+
+def test_each_archive_is_read_by_a_task(spark):
+    rows = spark.range(40).selectExpr("id as page_id", "'u' as url", "'page ' || id as html").repartition(6)
+    manifest = warc.write_archives(rows, new_path(spark, "warc"))
+    assert manifest.count() == 6 and warc.read_archives(manifest).rdd.getNumPartitions() == 6
+
+
+def test_memory_of_an_oversized_record(tmp_path):
+    import os
+    import tracemalloc
+
+    import pyarrow as pa
+
+    chunks, size = 800, 800 * warc.CHUNK
+    noise = [os.urandom(warc.CHUNK) for _ in range(4)]
+    digest = hashlib.sha1(b"".join(noise) * (chunks // 4)).hexdigest()
+
+    def batches():
+        for i in range(chunks):
+            row = {"page_id": 1, "url": "u", "sha1": digest, "size": size, "record_type": "response", "refers_to": None, "chunk_no": i, "data": noise[i % 4]}
+            yield pa.RecordBatch.from_pylist([row])
+
+    tracemalloc.start()
+    done = list(warc._writer(f"file://{tmp_path}")(batches()))[0]
+    with open(done.column("path")[0].as_py().removeprefix("file://"), "rb") as stream:
+        last = None
+        for last in warc.record_chunks(stream, True):
+            pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size > 200_000_000 and last[7] == size and last[8] == warc.base32(bytes.fromhex(digest))
+    assert most < 20 * warc.CHUNK
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "u", "same", "a", 9, "k"), (2, "u", "same", "b", 9, "k")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, sha1 string, size long, keeper string")
+    manifest = warc.write_archives(frame, new_path(spark, "warc"))
+    assert {r["page_id"]: r["refers_to"] for r in warc.read_archives(manifest).where("last").collect()} == {1: 2, 2: None}
