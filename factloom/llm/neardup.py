@@ -2,6 +2,9 @@
 
 A document is the set of its distinct five-word shingles, as 64-bit hashes. A
 link joins two documents whose sets have a Jaccard similarity of at least 3/4.
+Two shingles of one pair of documents share a hash with a probability of about
+n * n / 2^64 (5e-8 for two texts of a million words), and only where that turns
+the comparison does it show; equal sets are told by 128-bit digests of all hashes.
 
 1. Equal sets are one node each (a grouped minimum), so copies cost nothing more.
 2. Each set is summarised by ``WIDTH`` minwise tokens. ``TREES`` independent
@@ -21,15 +24,22 @@ A pair at the threshold is missed by all trees with a probability of about
 that are more alike, much more rarely, and a missed link only matters if no
 other path joins the two documents.
 
+Texts of groups are taken from the documents once: by a broadcast of the groups'
+ids up to ``BROADCAST_IDS`` of them, so that other texts don't move, by a join beyond.
+
 Defined cases: a null text, or one without words, has no set and no links; a
 text of fewer than five words is one shingle; rows with a null id link with
 nothing (their component is null and they are kept); rows that repeat an id
-are judged by their own texts; other columns are ignored or kept unread.
+are judged by their own texts; of equal sets and of a component the smallest id
+stands for all; texts of any length are taken whole, in pieces of ``PIECE`` bytes;
+an empty table gives an empty result. ``label_documents`` reads doc_id and text
+only; ``one_of_each`` keeps all columns, also those named like its own.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +47,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import groups_of, written
+from factloom.llm.common import groups_of, pieces, written
+from factloom.storage import written_counted
 from factloom.llm.components import components, merge_labels
 
 WORDS = 5
@@ -51,10 +62,13 @@ AT_HUB = 52
 NEAR_HUB = AT_HUB + AGREE - WIDTH
 #: Bounds of a block of full sets, and hubs of a group.
 BLOCK_SETS, BLOCK_SHINGLES, HUBS = 128, 1_000_000, 4
+#: Ids of groups that are broadcast to pick their texts, and bytes of a text that are hashed at once.
+BROADCAST_IDS, PIECE = 1_000_000, 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**64, 256, np.uint64, endpoint=False)
 _ODD = _rng.integers(0, 2**64, WIDTH, np.uint64, endpoint=False) | np.uint64(1)
+_SPACE = re.compile("[ \t-\r]")
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 
@@ -66,6 +80,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def word_runs(text: str) -> Iterator[list[bytes]]:
+    """The words of a text in runs of bounded size; each begins with the last words of the one before."""
+    carry: list[bytes] = []
+    at = 0
+    while at < len(text):
+        # a word may be longer than a piece
+        gap = _SPACE.search(text, at + PIECE)
+        end = gap.start() if gap else len(text)
+        words = text[at:end].encode("utf-8", "replace").lower().split()
+        at = end
+        if words:
+            run = carry + words
+            carry = run[1 - WORDS :] if len(run) >= WORDS else run
+            yield run
+
+
 class Shingler:
     """Shingle hashes by prefix sums of a polynomial, for texts of any length."""
 
@@ -80,11 +110,8 @@ class Shingler:
                 steps[0] = 1
                 setattr(self, name, np.cumprod(steps))
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        """Distinct hashes, sorted."""
-        words = text.encode("utf-8", "replace").lower().split() if text else []
-        if not words:
-            return np.empty(0, np.uint64)
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        """Of all shingles of a run of words."""
         data = np.frombuffer(b" ".join(words), np.uint8)
         self._reach(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
@@ -94,7 +121,19 @@ class Shingler:
         ends = np.append(gaps, len(data))
         k = min(WORDS, len(words)) - 1
         starts, ends = starts[: len(starts) - k], ends[k:]
-        found = mixed((sums[ends] - sums[starts]) * self.inverse[starts])
+        return mixed((sums[ends] - sums[starts]) * self.inverse[starts])
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        """Distinct hashes, sorted."""
+        parts, before = [], 0
+        for words in word_runs(text or ""):
+            if 0 < before < WORDS:
+                parts.clear()  # what came before was no whole shingle
+            parts.append(self.hashes(words))
+            before = len(words)
+        if not parts:
+            return np.empty(0, np.uint64)
+        found = np.concatenate(parts)
         found.sort()
         return found[np.concatenate(([True], found[1:] != found[:-1]))]
 
@@ -112,7 +151,7 @@ SETS = "doc_id long, text_key long, n_shingles long, print binary, tokens binary
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
-    for batch in batches:
+    for batch in pieces(batches):
         sizes, prints, tokens = [], [], []
         for text in batch.column(2):
             found = shingler(text.as_py())
@@ -269,12 +308,16 @@ def _solve_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(edges[0], pa.int64()), pa.array(edges[1], pa.int64())], names=["a", "b"])
 
 
-def _confirmed(rows: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Solve blocks: rows (grp, block, id, hub, known, side) with their texts."""
+def texts_of(ids: DataFrame, count: int, docs: DataFrame) -> DataFrame:
+    """(id, text) of the rows of ``docs`` with one of ``count`` distinct ids, written."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return written(texts.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "id", "left_semi"), "texts")
+
+
+def _confirmed(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Solve blocks: rows (grp, block, id, hub, known, side, print) with their texts."""
     return (
-        rows.join(nodes.select("id", "print"), "id")
-        .join(texts, "id")
+        rows.join(texts, "id")
         .select("grp", "block", "id", "hub", "known", "side", "print", "text")
         .repartition("grp", "block")
         .sortWithinPartitions("grp", "block")
@@ -284,14 +327,16 @@ def _confirmed(rows: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def confirmed_links(candidates: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """From candidate links: links confirmed on full sets that join all that are alike."""
-    groups = components(candidates).withColumnRenamed("component", "grp").join(nodes.select("id", "n_shingles"), "id")
+    groups = components(candidates).withColumnRenamed("component", "grp").join(nodes.select("id", "n_shingles", "print"), "id")
     picks = [F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"hub{k}") for k in range(HUBS)]
     sizes = groups.groupBy("grp").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("weight"), *picks)
     sizes = sizes.withColumn(
         "blocks", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("long")
     )
     sizes = written(sizes, "sizes")
-    groups = written(groups.join(sizes.select("grp", "blocks"), "grp"), "groups")
+    groups, count = written_counted(groups.join(sizes.select("grp", "blocks"), "grp"), "groups")
+    texts = texts_of(groups.select("id"), count, docs)
+    prints = groups.select("id", "print")
     hubs = sizes.where("blocks > 1").select(
         "grp", "blocks", F.explode(F.array_distinct(F.array(*[f"hub{k}" for k in range(HUBS)]))).alias("id")
     )
@@ -300,7 +345,7 @@ def confirmed_links(candidates: DataFrame, nodes: DataFrame, docs: DataFrame) ->
         hubs.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", F.lit(True))
     )
     rows = rows.groupBy("grp", "block", "id").agg(F.max("hub").alias("hub"))
-    first = written(_confirmed(rows.withColumns({"known": F.col("id"), "side": F.lit(1)}), nodes, docs), "confirmed")
+    first = written(_confirmed(rows.withColumns({"known": F.col("id"), "side": F.lit(1)}).join(prints, "id"), texts), "confirmed")
 
     several = groups.where("blocks > 1")
     if several.isEmpty():
@@ -328,7 +373,7 @@ def confirmed_links(candidates: DataFrame, nodes: DataFrame, docs: DataFrame) ->
         F.lit(0).alias("side"),
     )
     rows = queries.union(everything).groupBy("grp", "block", "id").agg(F.max("known").alias("known"), F.max("side").alias("side"))
-    second = written(_confirmed(rows.withColumn("hub", F.lit(False)), nodes, docs), "confirmed")
+    second = written(_confirmed(rows.withColumn("hub", F.lit(False)).join(prints, "id"), texts), "confirmed")
     return first.union(second)
 
 
@@ -360,6 +405,8 @@ def label_documents(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept; rows that repeat an id and its text are one."""
     key = "neardup__key"
+    while key in docs.columns:
+        key += "_"
     dropped = label_documents(docs).where(~F.col("kept")).select("doc_id", F.col("text_key").alias(key)).distinct()
     keyed = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
     return keyed.join(dropped, ["doc_id", key], "left_anti").dropDuplicates(["doc_id", key]).drop(key)

@@ -125,3 +125,28 @@ def test_who_is_alike_to_a_set_at_the_hub_is_linked_to_it(spark, monkeypatch):
     rows = [(i, bytearray(x.tobytes())) for i, x in enumerate((hub, at, near))]
     links = neardup.candidate_links(spark.createDataFrame(rows, "id long, tokens binary")).collect()
     assert {(2, 0), (1, 0)} <= {(r["a"], r["b"]) for r in links}
+
+
+@pytest.mark.parametrize("piece", [1, 7, 64])
+def test_pieces_of_a_text_give_the_same_set(monkeypatch, piece):
+    random.seed(9)
+    texts = ["", " ", "a", "a b", "a b c d", "a b c d e", "a b c d e f g " * 9, "long" * 50 + " x y z é\u00a0ü w\tv\nu", "  a  b  c  d  e  f  "]
+    texts += [" ".join(random.choices(["ab", "c", "défg", "h" * 30], k=random.randint(0, 40))) for _ in range(60)]
+    whole = [neardup.Shingler()(t).tolist() for t in texts]
+    assert [len(w) for w in whole] == [len(shingles(t)) for t in texts]
+    monkeypatch.setattr(neardup, "PIECE", piece)
+    assert [neardup.Shingler()(t).tolist() for t in texts] == whole
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_texts_by_broadcast_and_by_join_agree(spark, monkeypatch, most):
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", most)
+    rows = corpus(120, 3)
+    found = neardup.label_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == brute(rows)
+
+
+def test_columns_named_like_its_own_are_kept(spark):
+    rows = [(1, "a b c d e", "k1", "x"), (2, "a b c d e", "k2", "y"), (3, None, "k3", "z")]
+    kept = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, neardup__key string, print string"))
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
