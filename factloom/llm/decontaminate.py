@@ -11,34 +11,40 @@ separator. The index is the Burrows-Wheeler transform of that text in a wavelet
 matrix, with suffix positions sampled; windows are found by backward search,
 located by walking to the next sample, and merged into removal spans.
 
-The benchmark goes to the workers in blocks of at most ``BLOCK_BYTES`` of text;
-each block is one more pass over the documents, so its size is not limited.
+The benchmark goes to the workers in blocks of at most ``BLOCK_BYTES`` of text, as
+broadcast arrays; each block is one more pass over the documents, so its size is not
+limited. A worker holds documents of one shard, at most ``SHARD_TOKENS`` index
+tokens, ``SHARD_DOCS`` documents or ``SHARD_BYTES`` of rows, or a single longer one.
 
 Defined cases: a null text has no words; items without words, or with a null
 id, have no windows; repeated items count once for each id; repeated documents
-are judged each; spans are merged where they overlap or touch.
+are judged each; spans are merged where they overlap or touch; texts of any
+length are searched whole; without documents, or without a benchmark, nothing is
+hit. All columns are kept; those named like an added one are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.llm.common import pieces
+
 WINDOW = 13
 #: A document is contaminated if hits are at least one in PART words.
 PART = 20
-BLOCK_BYTES = 16_000_000
-#: A shard ends at so many index tokens or documents.
-SHARD_TOKENS, SHARD_DOCS = 1_000_000, 5_000
+BLOCK_BYTES = 8_000_000
+#: A shard ends at so many index tokens, documents or bytes of held rows.
+SHARD_TOKENS, SHARD_DOCS, SHARD_BYTES = 1_000_000, 5_000, 32_000_000
 #: Every so many positions of a run the suffix position is kept.
 SAMPLE = 16
 
@@ -62,23 +68,33 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*kept, text[done:]])
 
 
-@dataclass
 class Windows:
-    """Distinct windows as rows of word numbers (0 pads), with the items that have them."""
-
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
-    rows: dict[tuple[int, ...], int] = field(default_factory=dict)
-    items: list[set[str]] = field(default_factory=list)
-
-    def add(self, item: str, text: str | None) -> None:
-        words = words_of(text)
-        numbers = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-        for i in range(max(len(numbers) - WINDOW + 1, min(1, len(numbers)))):
-            row = tuple(numbers[i : i + WINDOW])
-            at = self.rows.setdefault(row, len(self.rows))
-            if at == len(self.items):
-                self.items.append(set())
-            self.items[at].add(item)
+    """Distinct windows as rows of word numbers (0 pads on the left), with the items that have them."""
+
+    def __init__(self, rows: Iterable[tuple[str, str | None]]) -> None:
+        self.vocabulary: dict[bytes, int] = {}
+        self.names: list[str] = []
+        known: dict[str, int] = {}
+        windows, owners = [np.empty((0, WINDOW), np.int32)], [np.empty(0, np.int32)]
+        for item, text in rows:
+            words = words_of(text)
+            if not words:
+                continue
+            own = known.setdefault(item, len(known))
+            numbers = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int32)
+            if len(numbers) < WINDOW:
+                numbers = np.concatenate((np.zeros(WINDOW - len(numbers), np.int32), numbers))
+            found = np.lib.stride_tricks.sliding_window_view(numbers, WINDOW)
+            windows.append(found.copy())
+            owners.append(np.full(len(found), own, np.int32))
+        self.names = list(known)
+        self.patterns, at = np.unique(np.concatenate(windows), axis=0, return_inverse=True)
+        pairs = np.unique(at.reshape(-1).astype(np.int64) * max(1, len(self.names)) + np.concatenate(owners))
+        window, self.owners = np.divmod(pairs, max(1, len(self.names)))
+        self.starts = np.searchsorted(window, np.arange(len(self.patterns) + 1))
+
+    def items(self, window: int) -> list[str]:
+        return [self.names[i] for i in self.owners[self.starts[window] : self.starts[window + 1]].tolist()]
 
 
 class RankBits:
@@ -202,11 +218,11 @@ class FmIndex:
 class Shard:
     """Documents of one worker, gathered until there are enough for an index."""
 
-    def __init__(self, windows: Windows, patterns: np.ndarray) -> None:
-        self.windows, self.patterns = windows, patterns
-        lengths = (patterns > 0).sum(axis=1)
+    def __init__(self, windows: Windows) -> None:
+        self.windows = windows
+        lengths = (windows.patterns > 0).sum(axis=1)
         self.lengths, self.shortest = lengths, int(lengths.min()) if len(lengths) else 0
-        self.docs = self.tokens = 0
+        self.docs = self.tokens = self.bytes = 0
         self.runs: list[tuple[int, int, np.ndarray]] = []
 
     def add(self, words: list[bytes]) -> None:
@@ -230,7 +246,7 @@ class Shard:
         for at, (_, _, run) in zip(starts.tolist(), self.runs, strict=True):
             text[at : at + len(run)] = run
         index = FmIndex(text, len(self.windows.vocabulary))
-        lo, hi = index.search(self.patterns)
+        lo, hi = index.search(self.windows.patterns)
         window = np.repeat(np.arange(len(lo)), np.maximum(hi - lo, 0))
         if not len(window):
             return found
@@ -246,9 +262,9 @@ class Shard:
             doc, first, _ = self.runs[r]
             found[doc][0].append((first + a - int(starts[r]), first + b - int(starts[r])))
         docs = np.array([doc for doc, _, _ in self.runs])[run]
-        for key in np.unique(docs * len(self.windows.items) + window).tolist():
-            doc, w = divmod(key, len(self.windows.items))
-            found[doc][1].update(self.windows.items[w])
+        for key in np.unique(docs * len(self.lengths) + window).tolist():
+            doc, w = divmod(key, len(self.lengths))
+            found[doc][1].update(self.windows.items(w))
         return found
 
 
@@ -271,13 +287,11 @@ _ARROW = {
 }
 
 
-def _searcher(windows: Windows, text_column: str):
-    patterns = np.array([[0] * (WINDOW - len(r)) + list(r) for r in windows.rows], np.int64).reshape(-1, WINDOW)
-
+def _searcher(shipped: Broadcast[Windows], text_column: str):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         counts: list[int] = []
-        shard = Shard(windows, patterns)
+        shard = Shard(shipped.value)
 
         def flush() -> Iterator[pa.RecordBatch]:
             found, done = shard.solve(), 0
@@ -297,15 +311,16 @@ def _searcher(windows: Windows, text_column: str):
                 columns = [pa.array(values[n], _ARROW[n]) if n in values else batch.column(n) for n in batch.schema.names]
                 yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-        for batch in batches:
+        for batch in pieces(batches):
             held.append(batch)
+            shard.bytes += batch.nbytes
             for text in batch.column(text_column):
                 words = words_of(text.as_py())
                 counts.append(len(words))
                 shard.add(words)
-            if shard.tokens >= SHARD_TOKENS or shard.docs >= SHARD_DOCS:
+            if shard.tokens >= SHARD_TOKENS or shard.docs >= SHARD_DOCS or shard.bytes >= SHARD_BYTES:
                 yield from flush()
-                held, counts, shard = [], [], Shard(windows, patterns)
+                held, counts, shard = [], [], Shard(shipped.value)
         if held:
             yield from flush()
 
@@ -319,10 +334,8 @@ def benchmark_blocks(benchmark: DataFrame) -> Iterator[Windows]:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
     for block in range(blocks):
-        windows = Windows()
-        for row in rows.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).toLocalIterator():
-            windows.add(row["item"], row["text"])
-        yield windows
+        part = rows.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
+        yield Windows((r["item"], r["text"]) for r in part.toLocalIterator())
 
 
 def with_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -331,7 +344,7 @@ def with_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = docs.withColumns({N_WORDS: F.lit(0).cast("long"), SPANS: empty, ITEMS: F.array().cast("array<string>")})
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in found.schema])
     for windows in benchmark_blocks(benchmark):
-        found = found.mapInArrow(_searcher(windows, "text"), schema)
+        found = found.mapInArrow(_searcher(docs.sparkSession.sparkContext.broadcast(windows), "text"), schema)
     return found
 
 

@@ -94,3 +94,28 @@ def test_long_repeated_text(spark):
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
     found = dec.judged(dec.with_spans(spark.createDataFrame(rows, "doc_id long, text string"), bench)).collect()
     assert all(r["n_hit"] == r[dec.N_WORDS] == 40_000 for r in found)
+
+
+def test_shards_by_bytes_agree(spark, monkeypatch):
+    items, docs = make(4, [f"w{i}" for i in range(30)])
+    frames = [spark.createDataFrame(docs, "doc_id long, text string, items string"), spark.createDataFrame(items, "item_id long, text string")]
+    whole = dec.judged(dec.with_spans(*frames)).orderBy("doc_id").collect()
+    monkeypatch.setattr(dec, "SHARD_BYTES", 1)
+    monkeypatch.setattr(dec, "SHARD_TOKENS", 3)
+    assert dec.judged(dec.with_spans(*frames)).orderBy("doc_id").collect() == whole
+
+
+def test_clashing_columns_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 7)], f"doc_id long, text string, {dec.SPANS} string, n_hit int")
+    found = dec.judged(dec.with_spans(docs, spark.createDataFrame([(1, "b")], "item_id long, text string"))).collect()[0]
+    assert found["n_hit"] == 1 and found[dec.SPANS][0]["lo"] == 1
+
+
+def test_memory_of_windows_is_a_small_multiple_of_the_text():
+    import sys
+
+    random.seed(1)
+    text = " ".join(f"w{random.randrange(10**6)}" for _ in range(100_000))
+    windows = dec.Windows([("a", text)])
+    held = windows.patterns.nbytes + windows.owners.nbytes + windows.starts.nbytes + sys.getsizeof(windows.vocabulary)
+    assert len(windows.patterns) == 100_000 - 12 and held < 25 * len(text)
