@@ -12,12 +12,17 @@ Invisible are ``HIDDEN`` elements, the ``hidden`` attribute, ``display:none``,
 ``details`` and ``dialog`` elements. All other text is emitted.
 
 There is no recursion and each character is scanned a bounded number of times,
-so depth and length of a page are not limited. Columns wider than ``WIDEST``
-characters are not padded, so that one wide cell cannot multiply the output.
+so depth and length of a page are not limited. Cells wrap at ``WRAP`` characters,
+between words; a longer word stands in a line of its own below, so every column of
+every table is aligned, and one wide cell cannot multiply the output. Nested blocks
+are indented, each by ``INDENT``; as text browsers do, the margin stays where it is
+once it has reached ``MOST_INDENT`` (markers and text of deeper blocks are shown in
+full at that margin).
 
 Defined cases: a null page has null text; an empty one, or one without visible
 text, has empty text; a tag that the page's end cuts off is dropped with the
-rest, as browsers do; repeated rows are rendered each.
+rest, as browsers do; repeated rows are rendered each; an empty table stays empty.
+All columns are kept; one named like the added one is replaced.
 """
 
 from __future__ import annotations
@@ -30,8 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-WIDEST = 60
-#: Deeper nesting is not indented further, for the same reason.
+from factloom.llm.common import pieces
+
+#: Characters of a table cell's line, and of the indentation of a block and of all blocks around it.
+WRAP = 60
 INDENT, MOST_INDENT = 4, 80
 MOST_COLSPAN, MOST_ROWSPAN = 1000, 65534
 
@@ -156,6 +163,19 @@ class Flow:
         return self.lines
 
 
+def wrapped(line: str) -> list[str]:
+    """A line in lines of at most WRAP characters, cut at spaces; longer words stay whole."""
+    out = []
+    while len(line) > WRAP:
+        inner = len(line) - len(line.lstrip(" "))
+        at = line.rfind(" ", inner, WRAP + 1)
+        if at < 0 and (at := line.find(" ", max(inner, WRAP))) < 0:
+            break
+        out.append(line[:at].rstrip(" "))
+        line = line[at:].lstrip(" ")
+    return [*out, line]
+
+
 class Table:
     """Cells of a table, laid out when it ends."""
 
@@ -178,10 +198,10 @@ class Table:
             for flow, colspan, rowspan in row:
                 while now.get(column, 0):
                     column += 1
-                lines = flow.end()
+                lines = [part for line in flow.end() for part in (wrapped(line) if len(line) > WRAP else (line,))]
                 out.append((column, colspan, lines))
-                if colspan == 1 and (width := max(map(len, lines), default=0)) <= WIDEST:
-                    widths[column] = max(widths.get(column, 0), width)
+                if colspan == 1:
+                    widths[column] = max(widths.get(column, 0), max((len(x) for x in lines if len(x) <= WRAP), default=0))
                 if rowspan > 1:
                     taken.update(dict.fromkeys(range(column, column + colspan), rowspan))
                 column += colspan
@@ -189,20 +209,21 @@ class Table:
             placed.append(out)
         used = sorted({c for out in placed for c, _, _ in out})
         starts, at = {}, 0
-        for i, column in enumerate(used):
+        for column in used:
             starts[column] = at
             if widths.get(column):
                 at += widths[column] + 2
-            elif i + 1 < len(used) and column in widths:
-                at += 0
         lines: list[str] = []
         for out in placed:
             for k in range(max((len(cell) for _, _, cell in out), default=0)):
                 text = ""
                 for column, _, cell in out:
                     if k < len(cell) and cell[k]:
-                        gap = starts[column] - len(text)
-                        text += " " * max(gap, 2 if text else 0) + cell[k]
+                        if text and len(text) + 2 > starts[column]:
+                            # what reaches into this column ends its line
+                            lines.append(text)
+                            text = ""
+                        text += " " * (starts[column] - len(text)) + cell[k]
                 lines.append(text)
         return lines
 
@@ -416,12 +437,13 @@ TEXT = "htmltext__text"
 
 
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         texts = [text_of(x.as_py()) for x in batch.column("html")]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, TEXT])
 
 
 def with_text(pages: DataFrame) -> DataFrame:
     """All rows and columns of ``pages`` (with a string ``html``), and TEXT."""
+    pages = pages.drop(TEXT)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in pages.schema])
     return pages.mapInArrow(_render, schema.add(TEXT, T.StringType()))

@@ -62,3 +62,36 @@ def test_with_text(spark):
     found = with_text(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()
     assert sorted(((r["page_id"], r[TEXT], r["text"]) for r in found), key=str) == sorted([(1, "a", "x"), (2, None, "x"), (3, "", "x"), (1, "a", "x")], key=str)
     assert with_text(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_all_columns_are_aligned_and_wide_cells_wrap():
+    wide = " ".join(f"word{i}" for i in range(40))
+    text = text_of(f"<table><tr><td>{wide}<td>right<td>end<tr><td>a<td>b<td>c</table>")
+    lines = text.split("\n")
+    at = lines[0].index("right")
+    assert max(map(len, lines)) < 90 and at <= 62 and lines[-1].index("b") == at and lines[-1].index("c") == lines[0].index("end")
+    assert text.split() != [] and sorted(text.split()) == sorted([*wide.split(), "right", "end", "a", "b", "c"])
+
+
+def test_a_word_wider_than_a_column_keeps_the_others_aligned():
+    word = "x" * 200
+    lines = text_of(f"<table><tr><td>{word}<td>right<tr><td>short<td>b</table>").split("\n")
+    assert lines == [word, "       right", "short  b"]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.text("ab ", max_size=150), min_size=1, max_size=4), min_size=1, max_size=5))
+def test_no_character_of_a_cell_is_lost(rows):
+    source = "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in r) for r in rows) + "</table>"
+    text = text_of(source)
+    assert sorted(text.split()) == sorted(w for r in rows for c in r for w in c.split())
+
+
+def test_one_wide_cell_does_not_multiply_the_output():
+    source = "<table><tr><td>" + "y" * 100_000 + "<td>x" + "<tr><td>a<td>b" * 5_000 + "</table>"
+    assert len(text_of(source)) < 2 * len(source)
+
+
+def test_a_column_named_like_the_added_one_is_replaced(spark):
+    found = with_text(spark.createDataFrame([(1, "<p>a", "x")], f"page_id long, html string, {TEXT} string")).collect()
+    assert [r[TEXT] for r in found] == ["a"]
