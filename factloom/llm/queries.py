@@ -33,6 +33,23 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_pages(pages, URL_RULES, rules).select("page_id", *(F.col(v).alias(k) for k, v in names.items()))
 
 
+def written_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op2 that SQL can express: host, path, the written rule and its verdict."""
+    found = op2_url_rules(spark, sf_dir)
+    return found.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+
+
+def planted_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2's method where urls do tell: every page is labelled, as bad if it is the English
+    part of a blog, so that only a combination of two tokens tells it. No written rules."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    bad = F.coalesce(F.col("url").rlike("^[a-z]+://blog[.][^/]*/en/"), F.lit(False))
+    labels = pages.select(F.col("page_id").alias("doc_id"), (~bad).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    rules = written(urlrules.mine(urlrules.labelled_tokens(pages, labels)), "rules")
+    found = urlrules.judge_pages(pages, [], rules.where(F.col("confidence") == 1.0))
+    return found.select("page_id", F.col(urlrules.VERDICT).alias("verdict"), (F.col(urlrules.CONFIDENCE) == 1.0).alias("sure"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_batches(spark)
     manifest = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), new_path(spark, "warc"))
@@ -98,9 +115,29 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op8_html_layout": op8_html_layout,
     "op10_chat_format": op10_chat_format,
+    "written_url_rules": written_url_rules,
+    "planted_url_rules": planted_url_rules,
 }
 
 ORACLE_SQL = {
+    "written_url_rules": """
+WITH rest AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^?#]*') ELSE '' END AS r FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(r, '/.*$', 0, 's') AS path FROM rest
+), rules(action, rule) AS (
+  VALUES ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'), ('block', 'net/es/'), ('block', 'net/fr/')
+), fits AS (
+  SELECT page_id, rule, action FROM parts, rules
+  WHERE ('.' || host) LIKE '%.' || split_part(rule, '/', 1) AND starts_with(path, substr(rule, instr(rule, '/')))
+), best AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS rule_verdict FROM fits GROUP BY page_id)
+SELECT page_id, host, path, rule, rule_verdict FROM parts LEFT JOIN best USING (page_id)
+""",
+    "planted_url_rules": r"""
+SELECT page_id, CASE WHEN bad THEN 'block' ELSE 'allow' END AS verdict, CASE WHEN bad THEN true END AS sure
+FROM (SELECT page_id, coalesce(regexp_matches(url, '^[a-z]+://blog[.][^/]*/en/'), false) AS bad FROM pages)
+""",
     "op4_warc": """
 WITH hashed AS (
   SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages

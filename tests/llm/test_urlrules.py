@@ -129,3 +129,20 @@ def test_rules_where_most_pages_are_bad(spark, good):
     p, q = frames(spark, pages, [(i, 1 if i < good else 0, 0) for i in range(120)])
     judged = u.judge_pages(p, [], u.mine(u.labelled_tokens(p, q))).collect()
     assert {r["page_id"]: r[u.VERDICT] for r in judged} == {i: "allow" if i < good else "block" for i in range(120)}
+
+
+def test_equally_confident_rules_and_clashing_columns(spark):
+    rules = spark.createDataFrame([(["b=1"], 0.9, 0.5), (["a=1"], 0.9, 0.5), (["c=1"], 0.9, 0.6)], "antecedent array<string>, confidence double, support double")
+    mined = next(u.rule_blocks(rules))
+    assert mined.match(["a=1", "b=1"]) == (0.9, "a=1") and mined.match(["a=1", "c=1"]) == (0.9, "c=1") and mined.match(["x"]) is None
+    pages = spark.createDataFrame([(1, "http://a.net/fr/", "own")], f"page_id long, url string, {u.VERDICT} string")
+    assert [r[u.VERDICT] for r in u.judge_pages(pages, URL_RULES, rules).collect()] == ["block"]
+
+
+def test_planted_rules_of_the_registered_query_decide(spark):
+    from factloom.llm.queries import planted_url_rules
+
+    found = planted_url_rules(spark, "/root/testdata/sf0.01").collect()
+    urls = {r["page_id"]: r["url"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").collect()}
+    blocked = {r["page_id"] for r in found if r["verdict"] == "block"}
+    assert blocked and all("://blog." in urls[p] and "/en/" in urls[p] for p in blocked)
