@@ -178,7 +178,7 @@ class Transducer:
         self.user = re.compile("(" + "|".join(map(re.escape, user)) + ")") if user else None
         self.user_ids = {p: i for i, (p, t) in numbered if t == USER}
         for i in self.user_ids.values() if self.kind == UNIGRAM else ():
-            self.scores[i] = single(len(self.pieces[i].encode()) * max(normal, default=0.0) - 0.1)
+            self.scores[i] = single(len(self.pieces[i].encode()) * max(0.0, *normal) - 0.1)
         inner = {c for p in self.ids if len(p) > 1 for c in p}
         alone = "".join(sorted(re.escape(c) for c in "\n\t\r" if c not in inner))
         split_marks = not any(MARK in p.lstrip(MARK) for p in self.ids)
