@@ -7,7 +7,7 @@ one arc that emits its byte pieces; the shortest path in the tropical semiring
 (minimum over paths, sum along a path) is the encoding.
 
 * In a unigram model an arc weighs minus its piece's score, in single precision as
-  the library has it; user-defined pieces have the bonus that the library gives them.
+  the library has it.
   Sums begin anew in each part (see below); the library's, over a whole text, lose
   digits as they grow, so that paths that are nearly equal can come out otherwise there.
 * In a BPE model an arc weighs nothing if merging the previous piece and this
@@ -24,7 +24,8 @@ whole input, of any length.
 A model's character map replaces the longest key at each place; user-defined
 pieces are left as they are by it, and are pieces wherever they stand. Unused pieces
 of a unigram model make no arcs; in a BPE model they are merged, then split again as
-they were merged. White space as a suffix and denormalisers are refused.
+they were merged. Refused are user-defined pieces of unigram models (the library's
+bonus for them is not documented), white space as a suffix, and denormalisers.
 
 Defined cases: a null text has null tokens; an empty text has none. Characters
 that no piece covers become byte pieces, or in models without them one unknown
@@ -166,9 +167,11 @@ class Transducer:
                 raise ValueError("denormalisers are not supported")
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError(f"model type {self.kind} is not supported")
+        if self.kind == UNIGRAM and USER in self.types:
+            raise ValueError("user-defined pieces of unigram models are not supported")
         numbered = list(enumerate(zip(self.pieces, self.types, strict=True)))
-        # in a BPE model user-defined pieces are cut out beforehand, and unused ones merge
-        arcs = {NORMAL, USER} if self.kind == UNIGRAM else {NORMAL, UNUSED}
+        # user-defined pieces are cut out beforehand; in a BPE model unused ones merge
+        arcs = {NORMAL} if self.kind == UNIGRAM else {NORMAL, UNUSED}
         self.ids = {p: i for i, (p, t) in numbered if t in arcs}
         self.unknown = self.types.index(UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in numbered if t == BYTE}
@@ -177,8 +180,6 @@ class Transducer:
         user = sorted((p for p, t in zip(self.pieces, self.types, strict=True) if t == USER and p), key=len, reverse=True)
         self.user = re.compile("(" + "|".join(map(re.escape, user)) + ")") if user else None
         self.user_ids = {p: i for i, (p, t) in numbered if t == USER}
-        for i in self.user_ids.values() if self.kind == UNIGRAM else ():
-            self.scores[i] = single(len(self.pieces[i].encode()) * max(0.0, *normal) - 0.1)
         inner = {c for p in self.ids if len(p) > 1 for c in p}
         alone = "".join(sorted(re.escape(c) for c in "\n\t\r" if c not in inner))
         split_marks = not any(MARK in p.lstrip(MARK) for p in self.ids)
@@ -344,7 +345,7 @@ class Transducer:
 
     def encode(self, text: str) -> np.ndarray:
         text = self.normalise(text)
-        if self.user is None or self.kind == UNIGRAM:
+        if self.user is None:
             found = self._encoded(text)
         else:
             cut = self.user.split(text)
