@@ -53,3 +53,53 @@ def test_empty_table_and_long_text(spark):
     assert trainorder.materialise(stored(spark, [], 1), new_path(spark, "shards")).count() == 0
     found = trainorder.read_back(trainorder.materialise(stored(spark, [(1, "x" * 2_000_000, "")], 1), new_path(spark, "shards")))
     assert found.count() == -(-2_000_001 // trainorder.LENGTH)
+
+
+@pytest.mark.parametrize("width", [2, 4])
+def test_ids_of_several_bytes_against_plain_python(spark, monkeypatch, width):
+    monkeypatch.setattr(trainorder, "LENGTH", 8)
+    monkeypatch.setattr(trainorder, "SHARD", 16)
+    monkeypatch.setattr(trainorder, "BUCKET", 2)
+    kind = f"<u{width}"
+    most = 256**width - 3
+    rows = [(i, bytearray(np.array([most, 0, 254, 255, 65279][: i % 6] * (i % 7), kind).tobytes()), "clash") for i in range(60)]
+    rows += [(100, None, "x"), (None, bytearray(b""), "x"), (102, bytearray(b"\1" * width), "x"), (102, bytearray(b"\1" * width), "x")]
+    path = new_path(spark, "docs")
+    spark.createDataFrame(rows, "doc_id long, ids binary, file string").repartition(5).write.parquet(path)
+    docs = spark.read.parquet(path)
+    located = sorted(trainorder._located(docs, "ids").collect(), key=lambda r: (r["file"], r["row"]))
+    cut = []
+    for r in located:
+        data = bytes(r["text"]) + b"\xff" * width
+        cut += [(r["doc_id"], p // (8 * width), data[p : p + 8 * width]) for p in range(0, len(data), 8 * width)]
+    slots = trainorder.permuted(np.arange(len(cut)), len(cut)).tolist()
+    want = {s: (*c[:2], len(c[2]) // width, zlib.crc32(c[2])) for s, c in zip(slots, cut, strict=True)}
+    index = trainorder.materialise(docs, new_path(spark, "shards"), ids="ids", width=width)
+    found = trainorder.read_back(index).collect()
+    assert {r["slot"]: (r["doc_id"], r["seq_no"], r["n_tokens"], r["crc32"]) for r in found} == want and len(found) == len(want)
+    assert {r["width"] for r in found} == {width}
+
+
+@pytest.mark.parametrize(("width", "ids"), [(2, b"\xff\xff"), (2, b"\xfe\xff"), (2, b"\1"), (3, b"")])
+def test_ids_that_do_not_fit_are_an_error(spark, width, ids):
+    path = new_path(spark, "docs")
+    spark.createDataFrame([(1, bytearray(ids))], "doc_id long, ids binary").write.parquet(path)
+    with pytest.raises(Exception, match="ids"):
+        trainorder.materialise(spark.read.parquet(path), new_path(spark, "shards"), ids="ids", width=width).count()
+
+
+def test_query_on_ids_holds_every_token_once(spark):
+    from factloom.llm import spm
+    from factloom.llm.queries import MODEL_PATH, training_order_of_ids
+
+    folder = "/root/testdata/sf0.001"
+    coder = spm.Transducer(spm.read_model(MODEL_PATH))
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    want = {}
+    for r in docs:
+        data = coder.encode(r["text"] or "").astype("<u2").tobytes() + b"\xff\xff"
+        step = 2 * trainorder.LENGTH
+        want |= {(r["doc_id"], p // step): zlib.crc32(data[p : p + step]) for p in range(0, len(data), step)}
+    found = training_order_of_ids(spark, folder).collect()
+    assert {(r["doc_id"], r["seq_no"]): r["crc32"] for r in found} == want and len(found) == len(want)
+    assert sorted(r["slot"] for r in found) == list(range(len(found)))
