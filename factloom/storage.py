@@ -36,17 +36,27 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back; survives the loss of executors."""
+#: Rows of a file of a written table whose number of rows is bounded beforehand.
+FILE_ROWS = 100_000
+
+
+def _few(df: DataFrame, rows: int | None) -> DataFrame:
+    return df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
+def written(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write to the shared folder and read back; survives the loss of executors. ``rows``
+    bounds the table's rows where that is known: a small table then is a few files, however
+    many partitions its exchanges have, and a large one has files in proportion."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    _few(df, rows).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+def written_counted(df: DataFrame, label: str, rows: int | None = None) -> tuple[DataFrame, int]:
     """``written``, and the number of rows, counted while they are written."""
     seen = Observation()
-    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    out = written(_few(df, rows).observe(seen, F.count(F.lit(1)).alias("n")), label)
     return out, seen.get["n"]
 
 
