@@ -1,18 +1,17 @@
 """Traversals of call and trigger graphs, level by level.
 
-A level is one join of the frontier with the edges and one anti join with what
-was visited before; levels are written to the shared folder, so plans stay
-short and survive lost executors. Only counts reach the driver.
+Edges are written once to the shared folder, and so is every level, so plans stay
+short and survive lost executors. Only counts reach the driver, and for the search
+of entry chains, whose nodes are capped, its nodes.
 """
 
 from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators.rank import first_per_group
 from factloom.storage import written, written_counted
 
 #: Order of chain ends: what proves an entry comes first.
@@ -40,6 +39,7 @@ def reachable(edges: DataFrame, src: str, dst: str, starts: DataFrame, max_depth
     """(start, node, depth): nodes within ``max_depth`` steps of each start along src -> dst,
     with the least number of steps. ``starts`` has ``start`` (also a node)."""
     steps = edges.select(F.col(src).alias("node"), F.col(dst).alias("to")).where("node is not null and to is not null and node <> to").distinct()
+    steps = written(steps, "steps")
     seen = frontier = written(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct(), "level")
     for depth in range(1, max_depth + 1):
         new = (
@@ -56,6 +56,30 @@ def reachable(edges: DataFrame, src: str, dst: str, starts: DataFrame, max_depth
     return seen
 
 
+def walks(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
+    """(start, node, depth, path, symbol, heuristic): ``reachable`` with a shortest path to each
+    node (the first by the nodes' names), and whether any of its steps is a symbol's or a
+    guess. ``edges`` has (a, b, symbol, heuristic); of equal steps the surest counts."""
+    steps = edges.where("a is not null and b is not null and a <> b").groupBy(F.col("a").alias("node"), F.col("b").alias("to"))
+    steps = written(steps.agg(F.min(F.struct("heuristic", "symbol")).alias("how")), "steps")
+    first = starts.select("start", F.col("start").alias("node")).distinct()
+    no = F.lit(False)
+    frontier = written(first.withColumns({"depth": F.lit(0), "path": F.array("start"), "symbol": no, "heuristic": no}), "level")
+    seen = frontier
+    for depth in range(1, max_depth + 1):
+        further = frontier.join(steps, "node").join(seen.select("start", F.col("node").alias("to")), ["start", "to"], "left_anti")
+        best = F.min(F.struct("path", F.col("symbol") | F.col("how.symbol"), F.col("heuristic") | F.col("how.heuristic"))).alias("best")
+        new = further.groupBy("start", "to").agg(best).select(
+            "start", F.col("to").alias("node"), F.lit(depth).alias("depth"), F.array_append("best.path", F.col("to")).alias("path"),
+            F.col("best")["col2"].alias("symbol"), F.col("best")["col3"].alias("heuristic"),
+        )
+        frontier, n = written_counted(new, "level")
+        if not n:
+            break
+        seen = seen.union(frontier)
+    return seen
+
+
 def callers_of(edges: DataFrame, caller: str, target: str, start: str, max_depth: int) -> DataFrame:
     """(node, depth) of everything that calls ``start``, directly or not."""
     first = edges.sparkSession.createDataFrame([(start,)], "start string")
@@ -64,50 +88,63 @@ def callers_of(edges: DataFrame, caller: str, target: str, start: str, max_depth
 
 def closure_to_bases(parents: DataFrame, child: str, parent: str, bases: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, base, depth): the nearest base above each node, itself excluded; a direct
-    base wins over farther ones, the smaller name on ties. Without ``max_depth``, to the end:
-    known nodes do not come again, so cycles end too."""
+    base wins over farther ones, the smaller name on ties. Without ``max_depth``, to the end.
+
+    A round doubles the distance: a node without a base so far takes the nearest one of its
+    ancestors at exactly that distance. Whoever is above a node that is found later is found
+    in between, so a round without a find is the last, and cycles end too.
+    """
     steps = parents.select(F.col(child).alias("node"), F.col(parent).alias("up")).where("up is not null and node <> up").distinct()
+    steps = written(steps, "steps")
     known = bases.select(F.col("base").alias("up")).distinct()
     found = written(steps.join(known, "up").groupBy("node").agg(F.min("up").alias("base")).withColumn("depth", F.lit(1)), "closure")
-    level = found
-    for depth in count(2) if max_depth is None else range(2, max_depth + 1):
-        up = level.select(F.col("node").alias("up"), "base")
-        new = steps.join(up, "up").groupBy("node").agg(F.min("base").alias("base")).join(found.select("node"), "node", "left_anti")
-        level, n = written_counted(new.withColumn("depth", F.lit(depth)), "closure")
+    reach, distance = written(steps.join(found.select("node"), "node", "left_anti"), "reach"), 1
+    while max_depth is None or distance < max_depth:
+        above = found.select(F.col("node").alias("up"), "base", (F.col("depth") + distance).alias("depth"))
+        best = reach.join(above, "up").groupBy("node").agg(F.min(F.struct("depth", "base")).alias("b")).select("node", "b.base", "b.depth")
+        new, n = written_counted(best if max_depth is None else best.where(F.col("depth") <= max_depth), "closure")
         if not n:
             break
-        found = found.union(level)
+        # from nodes that are still open, over any that were when the round began
+        further = reach.select(F.col("node").alias("up"), F.col("up").alias("to"))
+        still = reach.join(new.select("node"), "node", "left_anti").join(further, "up")
+        reach = written(still.select("node", F.col("to").alias("up")).distinct(), "reach")
+        found = found.union(new)
+        distance *= 2
     return found
 
 
-def agree_fixpoint(edges: DataFrame, caller: str, target: str, seeds: DataFrame, max_rounds: int = 64) -> DataFrame:
+def agree_fixpoint(edges: DataFrame, caller: str, target: str, seeds: DataFrame) -> DataFrame:
     """(node, value, depth): a node without a seed takes its callers' value if **all** of
     its call sites have one and the same; unknown or differing callers give none.
 
-    Values only spread, so a round looks at nodes that have none yet.
+    Every open node keeps its number of call sites, of those with a value, and the least and
+    greatest value; a round adds what the nodes settled in the round before bring, until a
+    round settles none.
     """
-    sites = edges.select(F.col(caller).alias("from"), F.col(target).alias("node")).where("node is not null")
+    sites = written(edges.select(F.col(caller).alias("from"), F.col(target).alias("node")).where("node is not null"), "sites")
     known = written(seeds.select("node", "value", F.lit(0).alias("depth")), "fixpoint")
-    for _ in range(max_rounds):
-        open_sites = sites.join(known.select("node"), "node", "left_anti")
-        values = open_sites.join(known.select(F.col("node").alias("from"), "value", "depth"), "from", "left")
-        agreed = (
-            values.groupBy("node")
-            .agg(
-                F.count("*").alias("sites"),
-                F.count("value").alias("valued"),
-                F.min("value").alias("value"),
-                F.max("value").alias("other"),
-                (F.max("depth") + 1).alias("depth"),
-            )
-            .where("sites = valued and value = other")
-            .select("node", "value", "depth")
+    none = F.lit(None)
+    state = sites.join(known.select("node"), "node", "left_anti").groupBy("node").agg(F.count("*").alias("sites"))
+    kind = known.schema["value"].dataType
+    state = state.withColumns({"valued": F.lit(0).cast("long"), "low": none.cast(kind), "high": none.cast(kind), "depth": F.lit(0), "settled": none.cast("int")})
+    fresh = known
+    for turn in count(1):
+        brought = sites.join(fresh.select(F.col("node").alias("from"), "value", "depth"), "from").groupBy("node").agg(
+            F.count("value").alias("more"), F.min("value").alias("least"), F.max("value").alias("most"), F.max("depth").alias("deep")
         )
-        new, n = written_counted(agreed, "fixpoint")
-        if not n:
+        joined = state.join(brought, "node", "left").select(
+            "node", "sites", (F.col("valued") + F.coalesce("more", F.lit(0))).alias("valued"), F.least("low", "least").alias("low"),
+            F.greatest("high", "most").alias("high"), F.greatest("depth", F.col("deep") + 1).alias("depth"), "settled",
+        )
+        agree = F.col("settled").isNull() & (F.col("valued") == F.col("sites")) & (F.col("low") == F.col("high"))
+        found = Observation()
+        now = joined.withColumn("settled", F.when(agree, F.lit(turn)).otherwise(F.col("settled")))
+        state = written(now.observe(found, F.count_if(F.col("settled") == turn).alias("n")), "fixpoint")
+        if not found.get["n"]:
             break
-        known = known.union(new)
-    return known
+        fresh = state.where(F.col("settled") == turn).select("node", F.col("low").alias("value"), "depth")
+    return known.union(state.where("settled is not null").select("node", F.col("low").alias("value"), "depth"))
 
 
 def entry_chains(
@@ -126,51 +163,51 @@ def entry_chains(
 
     In each level a new caller belongs to the first of its nodes in search order; nodes
     are ordered by their child's order, falling confidence and name. Entries end a branch.
+    The search has at most ``max_nodes`` nodes, which the driver keeps; of the callers of a
+    level, however many, it gets the first that there is room for.
     """
     spark: SparkSession = edges.sparkSession
-    up = edges.select("caller", "target", "confidence", "heuristic").where("caller is not null and caller <> target")
-    marks = entries.select("node").distinct().withColumn("is_entry", F.lit(True))
-    bounds = boundaries.select("node").distinct().withColumn("is_boundary", F.lit(True))
-    level = written(
-        spark.createDataFrame([(start, 0, None, False, 0)], "node string, depth int, child string, heuristic boolean, pos long"), "chain"
-    )
-    seen, ended, truncated = level, None, False
+    up = written(edges.select("caller", "target", "confidence", "heuristic").where("caller is not null and caller <> target"), "edges")
+    marks, bounds = (written(x.select("node").distinct(), "marks") for x in (entries, boundaries))
+
+    def among(df: DataFrame, column: str, names: list[str]) -> set[str]:
+        return {r[0] for r in df.where(F.col(column).isin(names)).select(column).distinct().collect()} if names else set()
+
+    level: list[tuple[str, str | None, bool]] = [(start, None, False)]
+    seen, ended, truncated = {start}, [], False
     for depth in range(max_depth + 1):
-        state = level.join(marks, "node", "left").join(bounds, "node", "left")
-        state = state.withColumn("is_entry", F.coalesce("is_entry", F.lit(False)) & (F.col("depth") > 0))
-        going = state.where(~F.col("is_entry"))
-        callers = going.select(F.col("node").alias("target"), F.col("pos").alias("child_pos"), F.col("heuristic").alias("so_far")).join(up, "target")
-        fresh = callers.join(seen.select(F.col("node").alias("caller")), "caller", "left_anti")
-        has = callers.groupBy(F.col("target").alias("node")).agg(F.lit(True).alias("has_callers"))
-        # a caller that an earlier node of this level also reaches is taken by that one
-        chosen = first_per_group(fresh, ["caller"], [F.col("child_pos"), F.desc("confidence")])
-        feeds = chosen.groupBy(F.col("target").alias("node")).agg(F.lit(True).alias("feeds"))
-        kind = (
-            F.when(F.col("is_entry"), "entry")
-            .when(F.lit(depth >= max_depth), "depth_capped")
-            .when(F.col("has_callers").isNull() & F.col("is_boundary"), "plugin_boundary")
-            .when(F.col("has_callers").isNull(), "no_static_caller")
-            .when(F.col("feeds").isNull(), "callers_all_visited")
-        )
-        closed = written(
-            state.join(has, "node", "left").join(feeds, "node", "left").select("node", "depth", "child", "heuristic", kind.alias("terminal")), "chain"
-        )
-        ended = closed if ended is None else ended.union(closed)
-        if depth >= max_depth:
-            break
-        order = Window.orderBy("child_pos", F.desc("confidence"), "caller")
-        room = max_nodes - seen.count()
-        ranked = chosen.orderBy("child_pos", F.desc("confidence"), "caller").limit(room + 1).withColumn("pos", F.row_number().over(order).cast("long"))
-        ranked = ranked.select(
-            F.col("caller").alias("node"), F.lit(depth + 1).alias("depth"), F.col("target").alias("child"), (F.col("so_far") | F.col("heuristic")).alias("heuristic"), "pos"
-        )
-        level, found = written_counted(ranked, "chain")
-        if found > room:
-            truncated, level = True, level.where(F.col("pos") <= room)
-        if not min(found, room):
+        names = [n for n, _, _ in level]
+        at_entry = among(marks, "node", names) if depth else set()
+        going = [n for n in names if n not in at_entry] if depth < max_depth else []
+        called = among(up, "target", going)
+        alone = among(bounds, "node", [n for n in going if n not in called])
+        chosen, room = [], max_nodes - len(seen)
+        feeds: set[str] = set()
+        if called:
+            places = spark.createDataFrame([(n, i) for i, n in enumerate(names) if n in called], "target string, place int")
+            fresh = up.join(F.broadcast(places), "target").where(~F.col("caller").isin(list(seen)))
+            first = fresh.groupBy("caller").agg(F.min(F.struct("place", (-F.col("confidence")).alias("unsure"), "heuristic", "target")).alias("f"))
+            chosen = first.select("caller", "f.*").orderBy("place", "unsure", "caller").limit(room + 1).collect()
+            feeds = {r["target"] for r in chosen}
+            if len(chosen) > room:
+                truncated = True
+                feeds = {r[0] for r in first.select("f.target").distinct().collect()}
+        for name, child, guess in level:
+            if name in at_entry:
+                terminal = "entry"
+            elif depth >= max_depth:
+                terminal = "depth_capped"
+            elif name not in called:
+                terminal = "plugin_boundary" if name in alone else "no_static_caller"
+            else:
+                terminal = None if name in feeds else "callers_all_visited"
+            ended.append((name, depth, child, guess, terminal))
+        guesses = {n: g for n, _, g in level}
+        level = [(r["caller"], r["target"], guesses[r["target"]] or r["heuristic"]) for r in chosen[:room]]
+        if not level:
             break
-        seen = seen.union(level)
-    return ended, truncated
+        seen |= {n for n, _, _ in level}
+    return spark.createDataFrame(ended, "node string, depth int, child string, heuristic boolean, terminal string"), truncated
 
 
 def chain_confidence(terminal: Column, heuristic: Column) -> Column:
