@@ -64,25 +64,30 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row[0], row[1]
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, count: int | None = None) -> DataFrame:
     """From links (a, b) of long ids: id and component, the smallest id it reaches.
+    ``count`` bounds their number, where it is known.
 
-    Ids without a link to another are absent. Nulls and loops are ignored.
+    Ids without a link to another are absent. Nulls and loops are ignored. Up to ``BLOCK``
+    links left, one task ends the work instead of more rounds; the result is the same.
     """
     spark = links.sparkSession
     clean = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
+    if count is not None:
+        clean = clean.coalesce(max(1, -(-count // BLOCK)))
     edges = written(clean.mapInArrow(_forest, "a long, b long"), "links")
     state = _state(edges)
     while state[0] > BLOCK:
+        rows = 2 * state[0]
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # minima are written before they are joined: both sides of the join are then plain
         # exchanges, and the links of a node that has very many can be split among tasks
-        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least", rows)
         large = both.join(least, "a").where("b > a and b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # each id's smaller neighbours, joined to the smallest of them
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
-        after = written(small.select("e.a", F.col("e.m").alias("b")).where("a > b").distinct(), "links")
+        after = written(small.select("e.a", F.col("e.m").alias("b")).where("a > b").distinct(), "links", rows)
         discard(spark, edges, least)
         edges, before = after, state
         state = _state(edges)

@@ -44,7 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from factloom.llm.common import groups_of, pieces, written
@@ -234,37 +234,43 @@ def _compare_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def candidate_links(nodes: DataFrame) -> DataFrame:
     """From distinct sets (id, tokens): links that join all that may be alike."""
-    spark = nodes.sparkSession
-    keys = nodes.select("id", "tokens").mapInArrow(_roots, "node long, id long")
+    return counted_links(nodes, nodes.count())[0]
+
+
+def counted_links(nodes: DataFrame, count: int) -> tuple[DataFrame, int]:
+    """``candidate_links`` of ``count`` sets, and their number."""
+    keys, rows = nodes.select("id", "tokens").mapInArrow(_roots, "node long, id long"), TREES * count
     links, small = [], []
     for depth in range(1, DEPTH + 1):
         # written before the join: both its sides are then plain exchanges, and a node that
         # holds a large share of the rows can be split among tasks
-        sizes = written(keys.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1"), "sizes")
-        members = written(keys.join(sizes, "node"), "members")
+        found = keys.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1")
+        sizes = written(found, "sizes", rows // 2)
+        many = Observation()
+        members = written(keys.join(sizes, "node").observe(many, F.count_if(F.col("size") > SMALL).alias("n")), "members", rows)
         small.append(members.where(F.col("size") <= SMALL).select("node", "id"))
         large = members.where(F.col("size") > SMALL)
-        if large.isEmpty():
+        if not many.get["n"]:
             break
         if depth == DEPTH:
             links.append(large.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
         else:
             tokens = nodes.select("id", "tokens")
             hubs = large.select("node", "hub").distinct().join(tokens.withColumnRenamed("id", "hub"), "hub")
-            rows = large.select("node", "id").join(tokens, "id").join(hubs.withColumnRenamed("tokens", "hub_tokens"), "node")
-            rows = rows.select("node", "id", "hub", "tokens", "hub_tokens")
-            branched = written(rows.mapInArrow(_branches, "node long, id long, hub long"), "branched")
+            full = large.select("node", "id").join(tokens, "id").join(hubs.withColumnRenamed("tokens", "hub_tokens"), "node")
+            full = full.select("node", "id", "hub", "tokens", "hub_tokens")
+            branched, rows = written_counted(full.mapInArrow(_branches, "node long, id long, hub long"), "branched", BRANCHES * many.get["n"])
             links.append(branched.where("node is null").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
             keys = branched.where("node is not null").select("node", "id")
-    rows = small[0]
+    pairs = small[0]
     for more in small[1:]:
-        rows = rows.union(more)
-    rows = rows.join(nodes.select("id", "tokens"), "id").repartition("node").sortWithinPartitions("node")
-    links.append(rows.mapInArrow(_compare_small, "a long, b long"))
+        pairs = pairs.union(more)
+    pairs = pairs.join(nodes.select("id", "tokens"), "id").repartition("node").sortWithinPartitions("node")
+    links.append(pairs.mapInArrow(_compare_small, "a long, b long"))
     found = links[0]
     for more in links[1:]:
         found = found.union(more)
-    return written(found, "candidates")
+    return written_counted(found, "candidates")
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -325,16 +331,16 @@ def _confirmed(rows: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def confirmed_links(candidates: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """From candidate links: links confirmed on full sets that join all that are alike."""
-    groups = components(candidates).withColumnRenamed("component", "grp").join(nodes.select("id", "n_shingles", "print"), "id")
+def confirmed_links(candidates: DataFrame, count: int, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """From ``count`` candidate links: links confirmed on full sets that join all that are alike."""
+    groups = components(candidates, count).withColumnRenamed("component", "grp").join(nodes.select("id", "n_shingles", "print"), "id")
     picks = [F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"hub{k}") for k in range(HUBS)]
     sizes = groups.groupBy("grp").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("weight"), *picks)
     sizes = sizes.withColumn(
         "blocks", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("long")
     )
-    sizes = written(sizes, "sizes")
-    groups, count = written_counted(groups.join(sizes.select("grp", "blocks"), "grp"), "groups")
+    sizes = written(sizes, "sizes", count)
+    groups, count = written_counted(groups.join(sizes.select("grp", "blocks"), "grp"), "groups", 2 * count)
     texts = texts_of(groups.select("id"), count, docs)
     prints = groups.select("id", "print")
     hubs = sizes.where("blocks > 1").select(
@@ -351,15 +357,15 @@ def confirmed_links(candidates: DataFrame, nodes: DataFrame, docs: DataFrame) ->
     if several.isEmpty():
         return first
     # Large groups: what lies outside their largest component against all of the group, block by block.
-    labels = components(first).withColumnRenamed("component", "known")
+    labels = components(first, HUBS * count).withColumnRenamed("component", "known")
     known = several.join(labels, "id", "left").withColumn("known", F.coalesce("known", "id"))
     parts = known.groupBy("grp", "known").agg(F.count("*").alias("n"))
-    main = written(parts.groupBy("grp").agg(F.max_by("known", F.struct("n", "known")).alias("main"), F.sum("n").alias("sets")), "main")
-    known = written(known.join(main, "grp"), "known")
+    main = written(parts.groupBy("grp").agg(F.max_by("known", F.struct("n", "known")).alias("main"), F.sum("n").alias("sets")), "main", count)
+    known = written(known.join(main, "grp"), "known", count)
     rest = known.where("known <> main")
     if rest.isEmpty():
         return first
-    left = written(rest.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("parts")), "left")
+    left = written(rest.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("parts")), "left", count)
     rest_part = F.pmod(F.xxhash64("id", F.lit("rest")), F.col("parts"))
     # block = part of the rest * blocks + block of all
     queries = rest.join(left, "grp").select(
@@ -379,14 +385,15 @@ def confirmed_links(candidates: DataFrame, nodes: DataFrame, docs: DataFrame) ->
 
 def label_documents(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
-    sets = written(document_sets(docs), "sets")
-    nodes = written(
+    sets, count = written_counted(document_sets(docs), "sets")
+    nodes, count = written_counted(
         sets.where("n_shingles > 0 and doc_id is not null")
         .groupBy("print")
         .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")),
         "nodes",
+        count,
     )
-    links = confirmed_links(candidate_links(nodes), nodes, docs)
+    links = confirmed_links(*counted_links(nodes, count), nodes, docs)
     joined = components(links)
     classes = nodes.select("print", "id").join(joined, "id", "left").select("print", F.coalesce("component", "id").alias("component_id"))
     return (
