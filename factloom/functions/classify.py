@@ -17,24 +17,27 @@ NOTE_DYNAMIC, NOTE_HELPER, NOTE_SOURCE = "note:dynamic-entity", "note:helper-cal
 
 
 def persistence(sink: Column, phase: Column, op_type: Column, leaks: Column) -> Column:
-    """struct(persists, confidence): whether what an event writes reaches the database.
-    ``leaks``: a call of unknown target could have done it."""
+    """struct(persists, confidence, reason): whether what an event writes reaches the database,
+    and why. ``leaks``: a call of unknown target could have done it."""
 
-    def verdict(value: str, confidence: float) -> Column:
-        return F.struct(F.lit(value).alias("persists"), F.lit(confidence).alias("confidence"))
+    def verdict(value: str, confidence: float, reason: str | Column) -> Column:
+        why = F.lit(reason) if isinstance(reason, str) else reason
+        return F.struct(F.lit(value).alias("persists"), F.lit(confidence).alias("confidence"), why.alias("reason"))
 
     leaks = F.coalesce(leaks, F.lit(False))
+    saving = F.concat(F.lit("the operation "), op_type, F.lit(" saves when its transaction ends"))
+    unsure = F.concat(F.lit("a transaction whose operation ("), F.coalesce(op_type, F.lit("unknown")), F.lit(") is not known to save"))
     return (
-        F.when(F.coalesce(sink, F.lit(False)), verdict("yes", 0.85))
-        .when((phase == "transaction") & op_type.isin(PERSISTING_OPERATIONS), verdict("yes", 0.9))
-        .when((phase == "transaction") & leaks, verdict("unknown", 0.3))
-        .when((phase == "transaction") & (op_type == "donothing"), verdict("no", 0.7))
-        .when(phase == "transaction", verdict("unknown", 0.4))
-        .when(phase == "build", verdict("yes", 0.6))
-        .when(phase.isin("memory", "validate", "none") & leaks, verdict("unknown", 0.3))
-        .when(phase == "memory", verdict("no", 0.7))
-        .when(phase.isin("validate", "none"), verdict("no", 0.6))
-        .otherwise(verdict("unknown", 0.3))
+        F.when(F.coalesce(sink, F.lit(False)), verdict("yes", 0.85, "a call that saves is reached from the event"))
+        .when((phase == "transaction") & op_type.isin(PERSISTING_OPERATIONS), verdict("yes", 0.9, saving))
+        .when((phase == "transaction") & leaks, verdict("unknown", 0.3, "a call out of the project could save"))
+        .when((phase == "transaction") & (op_type == "donothing"), verdict("no", 0.7, "the operation does nothing, and no call saves"))
+        .when(phase == "transaction", verdict("unknown", 0.4, unsure))
+        .when(phase == "build", verdict("yes", 0.6, "the built object is saved by its framework"))
+        .when(phase.isin("memory", "validate", "none") & leaks, verdict("unknown", 0.3, "a call out of the project could save"))
+        .when(phase == "memory", verdict("no", 0.7, "the event changes a form in memory, and no call saves"))
+        .when(phase.isin("validate", "none"), verdict("no", 0.6, "the event is outside the transaction, and no call saves"))
+        .otherwise(verdict("unknown", 0.3, "the event's phase is unknown"))
     )
 
 

@@ -38,6 +38,8 @@ SINKS = {
 PERSISTING_INVOKES = frozenset("save submit audit unaudit unsubmit delete push".split())
 
 MOST_SPANS = 50
+#: Begins the form of a context that names a constant instead of a form.
+CONSTANT_FORM = "const:"
 
 
 @dataclass(slots=True)
@@ -381,7 +383,7 @@ class Body:
                 continue
             if t.kind == NAME and t.text == "return" and r.text(i + 1) not in (";", "null"):
                 found = self.value(i + 1, hi)
-                self.returned.append(found if found and found.source in ("own", "form") else None)
+                self.returned.append(found if found and found.source in ("own", "form", "dynamic") else None)
             if t.kind == NAME and t.text not in NOT_CALLS and r.text(i - 1) != ".":
                 declared = self.declaration(i, hi)
                 if declared:
@@ -578,8 +580,12 @@ class Body:
         if tail in LOADER_CLASSES and name in LOADERS:
             keys = [key_of([r.t[k] for k in range(*args[n])], self.strings, self.loops) for n in FORM_ARGUMENT.get(name, (0,)) if n < len(args)]
             form = next((k["key"] for k in keys if k["key_resolution"] == "literal"), None)
+            named = next((k for k in keys if k["key_resolution"] == "constant"), None)
+            if form is None and named:
+                # to be looked up over all files
+                form = f"{CONSTANT_FORM}{named['key_class'] or self.owner['simple']}.{named['key_const']}"
             one = name.startswith(("loadSingle", "newDynamic", "queryOne"))
-            return Context("object" if one else "collection", "form", form=form) if form else None
+            return Context("object" if one else "collection", "form" if form else "dynamic", form=form)
         if here is None:
             return r.returns.get((self.owner["fqn"], name)) if receiver in ("", "this") else None
         if here.kind == "model":

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import classify, events, text
+from factloom.lang.javaparse import CONSTANT_FORM
 from factloom.operators import aggregate, dedup, graph, rank, resolve, setcmp
 from factloom.schema import CALL_CONFIDENCE
 from factloom.sources import formxml
@@ -180,12 +181,27 @@ def unmatched_sites(calls: DataFrame, symbols: DataFrame, methods: DataFrame) ->
     )
 
 
-def parameter_forms(edges: DataFrame) -> DataFrame:
+def with_constant_forms(rows: DataFrame, constants: DataFrame) -> DataFrame:
+    """Rows whose ``form`` may name a constant: with its value, or as of a dynamic ``source``
+    where the constant is unknown or has several values."""
+    named = rows.where(F.col("form").startswith(CONSTANT_FORM)).select("form").distinct()
+    part = F.split(F.substring("form", len(CONSTANT_FORM) + 1, 1000), "[.]")
+    refs = named.select("form", part[0].alias("class_name"), part[1].alias("const_name"))
+    values = resolve.resolve_constants(refs, constants.select("class_name", "const_name", "literal"), "class_name", "const_name", "literal").select("form", F.col("value").alias("const_form"))
+    joined = rows.join(values, "form", "left")
+    open_ = F.col("form").startswith(CONSTANT_FORM)
+    source = F.when(open_ & F.col("const_form").isNull(), "dynamic").otherwise(F.col("source"))
+    return joined.withColumns({"source": source, "form": F.when(open_, F.col("const_form")).otherwise(F.col("form"))}).select(*rows.columns)
+
+
+def parameter_forms(edges: DataFrame, constants: DataFrame) -> DataFrame:
     """(class_fqn, method, param, form, depth) of the parameters for which all call sites
     agree on one form."""
     sites = edges.where("target_kind = 'project'").select(
         F.col("caller_fqn"), F.col("caller_method"), F.col("target_fqn"), F.col("target_method"), F.posexplode("sources").alias("pos", "s")
     )
+    sites = with_constant_forms(sites.select("*", "s.form", "s.source", "s.param").drop("s"), constants)
+    sites = sites.withColumn("s", F.struct("form", "source", "param"))
     target = F.concat_ws("#", "target_fqn", "target_method", F.col("pos").cast("string"))
     origin = (
         F.when(F.col("s.form").isNotNull(), F.concat(F.lit("form:"), "s.form"))
@@ -225,9 +241,9 @@ def event_methods(parsed: DataFrame, classes: DataFrame, plugins: DataFrame) ->
 
 def resolved_keys(parsed: DataFrame) -> DataFrame:
     """Accesses whose constant keys are looked up over all files."""
-    raw = facts(parsed, "accesses").withColumn("id", F.monotonically_increasing_id())
-    raw = written(raw, "accesses")
     constants = facts(parsed, "constants").select("class_name", "const_name", "literal")
+    raw = with_constant_forms(facts(parsed, "accesses"), constants).withColumn("id", F.monotonically_increasing_id())
+    raw = written(raw, "accesses")
     refs = raw.where("key_resolution = 'constant'").select(
         "id", F.coalesce("key_class", text.last_segment(F.col("class_fqn"))).alias("class_name"), F.col("key_const").alias("const_name")
     )
@@ -244,22 +260,32 @@ def field_accesses(parsed: DataFrame, meta: dict[str, DataFrame], edges: DataFra
     entries = methods.where("event_kind <> 'helper'").select(
         node("plugin_fqn", "method_name").alias("start"), "plugin_fqn", F.col("method_name").alias("event_method"), "event_phase", "plugin_kind"
     )
-    steps = edges.where("target_kind = 'project'").select(node("caller_fqn", "caller_method").alias("a"), node("target_fqn", "target_method").alias("b"), "resolution")
-    reach = graph.reachable(steps, "a", "b", entries.select("start").distinct(), EVENT_DEPTH)
+    across = F.col("caller_fqn") != F.col("target_fqn")
+    steps = edges.where("target_kind = 'project'").select(
+        node("caller_fqn", "caller_method").alias("a"), node("target_fqn", "target_method").alias("b"),
+        (across & F.col("resolution").isin("expr", "scope")).alias("symbol"), (across & (F.col("resolution") == "heuristic")).alias("heuristic"),
+    )
+    reach = graph.walks(steps, entries.select("start").distinct(), EVENT_DEPTH)
+    # methods of other classes are named with them
+    plugin = F.substring_index("start", "#", 1)
+    named = F.transform("path", lambda x: F.when(F.substring_index(x, "#", 1) == plugin, F.substring_index(x, "#", -1)).otherwise(
+        F.concat_ws(".", text.last_segment(F.substring_index(x, "#", 1)), F.substring_index(x, "#", -1))
+    ))
+    reach = reach.withColumn("path", named)
     sinks = facts(parsed, "methods").where("sink").select(node("class_fqn", "name").alias("node")).distinct().withColumn("sink", F.lit(True))
     sunk = reach.join(sinks, "node").select("start").distinct().withColumn("sinks", F.lit(True))
     leaks = edges.where("target_fqn is null and kind = 'invocation' and receiver not in ('', 'this')").select(node("caller_fqn", "caller_method").alias("node")).distinct()
     leaky = reach.join(leaks, "node").select("start").distinct().withColumn("leaks", F.lit(True))
-    guessed = steps.where("resolution = 'heuristic'").select(F.col("a").alias("node")).distinct().withColumn("guess", F.lit(True))
-    graded = reach.join(guessed, "node", "left").groupBy("start").agg(F.max(F.coalesce("guess", F.lit(False))).alias("any_guess"))
     home = meta["plugin"].groupBy(F.col("class_name").alias("plugin_fqn")).agg(
         F.when(F.min("form_key") == F.max("form_key"), F.min("form_key")).alias("home_form"), F.min("plugin_type").alias("plugin_type"),
         F.min("operation_key").alias("operation_key"),
     )
+    # a plugin of several forms or operations acts for each of them
+    bound = meta["plugin"].select(F.col("class_name").alias("plugin_fqn"), F.col("form_key").alias("home_form"), "plugin_type", "operation_key").distinct()
     op_types = meta["operation"].groupBy(F.col("form_key").alias("home_form"), F.col("key").alias("operation_key")).agg(F.min("operation_type").alias("op_type"))
     seen = (
-        reach.join(entries, "start").join(sunk, "start", "left").join(leaky, "start", "left").join(graded, "start", "left")
-        .join(home, "plugin_fqn", "left").join(op_types, ["home_form", "operation_key"], "left")
+        reach.join(entries, "start").join(sunk, "start", "left").join(leaky, "start", "left")
+        .join(bound, "plugin_fqn", "left").join(op_types, ["home_form", "operation_key"], "left")
     )
     at = accesses.withColumn("node", node("class_fqn", "method"))
     verdict = classify.persistence(F.col("sinks"), F.col("event_phase"), F.col("op_type"), F.col("leaks"))
@@ -268,13 +294,15 @@ def field_accesses(parsed: DataFrame, meta: dict[str, DataFrame], edges: DataFra
     own_sink = at.join(covered, "id", "left_anti").join(sinks, "node", "left")
     alone = own_sink.select(
         *at.columns, F.col("class_fqn").alias("plugin_fqn"), F.col("method").alias("event_method"), F.lit("unknown").alias("event_phase"),
-        F.struct(F.when(F.col("sink"), "yes").otherwise("unknown").alias("persists"), F.lit(0.6).alias("confidence")).alias("v"),
-        F.lit(0).alias("depth"), F.lit(False).alias("any_guess"),
+        F.struct(
+            F.when(F.col("sink"), "yes").otherwise("unknown").alias("persists"), F.lit(0.6).alias("confidence"),
+            F.when(F.col("sink"), "the method itself saves").otherwise("no analysed event reaches the method; its caller decides").alias("reason"),
+        ).alias("v"), F.array("method").alias("path"), F.lit(False).alias("symbol"), F.lit(False).alias("heuristic"),
     ).join(home.select("plugin_fqn", "home_form", "plugin_type"), "plugin_fqn", "left")
-    columns = [*at.columns, "plugin_fqn", "plugin_type", "event_method", "event_phase", "home_form", "v", "depth", "any_guess"]
+    columns = [*at.columns, "plugin_fqn", "plugin_type", "event_method", "event_phase", "home_form", "v", "path", "symbol", "heuristic"]
     rows = inside.select(*columns).unionByName(alone.select(*columns))
 
-    params = parameter_forms(edges).withColumnRenamed("depth", "param_depth")
+    params = parameter_forms(edges, facts(parsed, "constants")).withColumnRenamed("depth", "param_depth")
     caller_home = home.select(F.concat(F.lit("own:"), "plugin_fqn").alias("origin"), F.col("home_form").alias("caller_form"))
     params = params.join(caller_home, "origin", "left").withColumn("param_form", F.when(F.col("origin").startswith("form:"), F.substring("origin", 6, 1000)).otherwise(F.col("caller_form")))
     rows = rows.join(params.select("class_fqn", "method", "param", "param_form", "param_depth"), ["class_fqn", "method", "param"], "left")
@@ -282,19 +310,20 @@ def field_accesses(parsed: DataFrame, meta: dict[str, DataFrame], edges: DataFra
     by_param = F.when(F.col("source") == "param", F.col("param_form"))
     cap = F.when(F.col("param_depth") == 1, 0.85).otherwise(0.8)
     note = (
-        F.when((F.col("source") == "param") & F.col("param_form").isNull(), classify.NOTE_HELPER)
+        F.when(F.col("source") == "dynamic", classify.NOTE_DYNAMIC)
+        .when((F.col("source") == "param") & F.col("param_form").isNull(), classify.NOTE_HELPER)
         .when(F.col("source").isNull() & (F.col("level") != "basedata"), classify.NOTE_SOURCE)
     )
     writes = F.col("access") == "write"
     located = rows.select(
         F.coalesce(by_flow, by_param).alias("form_key"), "field_key", "level", F.col("entry").alias("entry_key"), "plugin_fqn", "plugin_type",
         F.col("class_fqn").alias("access_class"), F.col("method").alias("access_method"), "event_method", "event_phase", "access",
-        F.when(writes, F.col("v.persists")).otherwise("na").alias("persists"), F.lit(None).cast("string").alias("persist_reason"), "via", "line",
-        F.array("event_method", "method").alias("path"), "key_resolution",
+        F.when(writes, F.col("v.persists")).otherwise("na").alias("persists"), F.when(writes, F.col("v.reason")).alias("persist_reason"), "via", "line",
+        "path", "key_resolution",
         F.least(F.col("confidence"), F.when(writes, F.col("v.confidence")).otherwise(1.0), F.when(by_flow.isNull() & by_param.isNotNull(), cap).otherwise(1.0)).alias("confidence"),
         F.col("relpath").alias("source_relpath"), note.alias("evidence"),
         F.when(by_flow.isNotNull(), "data_flow").when(by_param.isNotNull(), "reverse_callgraph").alias("form_key_source"),
-        (F.col("any_guess") & (F.col("depth") > 0)).alias("guessed"), "receiver",
+        "symbol", F.col("heuristic").alias("guessed"), "receiver",
     )
     return finished(located, meta)
 
@@ -307,11 +336,12 @@ def finished(rows: DataFrame, meta: dict[str, DataFrame]) -> DataFrame:
     means_entry = F.col("entry_level").isNotNull() & (F.col("level") == "header")
     rows = rows.withColumns({"entry_key": F.when(means_entry, F.col("field_key")).otherwise(F.col("entry_key")), "level": F.when(means_entry, F.col("entry_level")).otherwise(F.col("level"))})
     rows = back_filled(rows.drop("entry_level"), meta)
-    key = ["form_key", "field_key", "level", "entry_key", "plugin_fqn", "access_class", "access_method", "event_method", "access", "line", "source_relpath"]
+    key = ["form_key", "field_key", "level", "entry_key", "plugin_fqn", "access_class", "access_method", "event_method", "access", "line", "persists"]
     rest = [c for c in rows.columns if c not in key]
-    kept = dedup.keep_first(rows, key, sorted(c for c in rest if c not in ("path",)), F.lit(False), F.coalesce("guessed", F.lit(False)))
+    no = F.lit(False)
+    kept = dedup.keep_first(rows, key, sorted(c for c in rest if c not in ("path",)), F.coalesce("symbol", no), F.coalesce("guessed", no))
     reason = classify.null_reason(*(F.col(c) for c in ("form_key", "field_key", "key_resolution", "level", "access", "evidence", "via")))
-    return kept.withColumn("null_reason", reason).drop("guessed", "receiver")
+    return kept.withColumn("null_reason", reason).drop("symbol", "guessed", "receiver")
 
 
 def entity_levels(entities: DataFrame) -> DataFrame:
@@ -358,6 +388,7 @@ def annotation_writes(parsed: DataFrame, fields: DataFrame) -> DataFrame:
     setters = facts(parsed, "calls").where("receiver_type = 'Field' and name = 'get' or name in ('getDeclaredFields', 'getAnnotation')").select("class_fqn").distinct()
     return marks.join(keys, "field_key", "left_semi").join(setters, "class_fqn", "left_semi").select(
         "field_key", F.col("class_fqn").alias("access_class"), F.col("class_fqn").alias("plugin_fqn"), F.lit("write").alias("access"), F.lit("unknown").alias("persists"),
+        F.lit("filled by reflection; whoever saves the result decides").alias("persist_reason"),
         F.lit("annotation-map").alias("key_resolution"), F.lit("annotation-map").alias("via"), F.lit(0.6).alias("confidence"), F.col("relpath").alias("source_relpath"), F.lit("unknown").alias("level"),
     ).distinct()
 

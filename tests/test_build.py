@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.lang import javaparse, lexer
 from factloom.plans import build
@@ -129,3 +130,59 @@ def test_symbols_decide_and_are_kept(spark):
 def test_entry_keys_and_aliases(spark):
     rows = spark.createDataFrame([("f1", "lines", "entry"), ("f2", "lines", "entry"), ("f1", "both", "entry"), ("f2", "both", "header")], "form_key string, key string, level string")
     assert {r["key"]: r["level"] for r in build.entity_levels(rows).collect()} == {"lines": "entry", "both": None}
+
+
+CHAIN = {
+    "CardAudit": """package a; public class CardAudit extends AbstractOperationServicePlugIn {
+  public void beginOperationTransaction(BeginOperationTransactionArgs e) { for (DynamicObject d : e.getDataEntities()) { first(d); } }
+  private void first(DynamicObject d) { new Helper().second(d); }
+}""",
+    "CardForm": """package a; public class CardForm extends AbstractFormPlugin {
+  public void propertyChanged(PropertyChangedArgs e) { new Helper().loads(name); new Helper().named(); }
+}""",
+    "Helper": """package a; public class Helper {
+  public void second(DynamicObject d) { d.set("acme_no", 1); }
+  public void loads(String name) { DynamicObject o = BusinessDataServiceHelper.loadSingle(1, name); o.set("zzz", 1); }
+  public void named() { DynamicObject o = BusinessDataServiceHelper.loadSingle(1, Keys.FORM); o.set("zzz", 1); DynamicObject p = BusinessDataServiceHelper.loadSingle(1, Keys.GONE); p.get("zzz"); }
+}""",
+    "Keys": 'package a; public class Keys { static final String FORM = "named_form"; }',
+}
+SITES = "relpath string, line int, col int, name string, kind string, resolution string, declaring string, signature string, target_kind string"
+
+
+def chain_rows(spark, tmp_path, symbols=None):
+    root = tmp_path / "src"
+    root.mkdir()
+    for name, data in CHAIN.items():
+        (root / f"{name}.java").write_text(data)
+    (root / "card.dym").write_text(FORM)
+    build.build(spark, str(tmp_path / "kb"), scan.scan(spark, str(root)), formxml.read_models(spark, str(root)), symbols)
+    return store.open_kb(spark, str(tmp_path / "kb")).table("field_access").collect()
+
+
+def test_paths_reasons_and_entities_of_accesses(spark, tmp_path):
+    rows = chain_rows(spark, tmp_path)
+    deep = next(r for r in rows if r["access_method"] == "second" and r["event_method"] == "beginOperationTransaction")
+    assert deep["path"] == ["beginOperationTransaction", "first", "Helper.second"] and deep["edge_source"] == "heuristic"
+    assert all((r["persist_reason"] is not None) == (r["access"] == "write") for r in rows)
+    dynamic = [r for r in rows if r["access_method"] == "loads"]
+    assert dynamic and {(r["null_reason"], r["form_key"]) for r in dynamic} == {("dynamic-entity", None)}
+    named = {(r["access"], r["form_key"], r["null_reason"]) for r in rows if r["access_method"] == "named"}
+    assert named == {("write", "named_form", None), ("read", None, "dynamic-entity")}
+
+
+def test_steps_that_symbols_resolve_grade_the_path(spark, tmp_path):
+    at = {m: next((i + 1, line.index(f"{m}(") + 1) for i, line in enumerate(CHAIN[c].split("\n")) if f".{m}(" in line) for c, m in (("CardAudit", "second"), ("CardForm", "loads"))}
+    known = [(f, *at[m], m, "invocation", "expr", "a.Helper", None, "project") for f, m in (("CardAudit.java", "second"), ("CardForm.java", "loads"))]
+    rows = chain_rows(spark, tmp_path, spark.createDataFrame(known, SITES))
+    grades = {r["access_method"]: r["edge_source"] for r in rows if r["event_method"] in ("beginOperationTransaction", "propertyChanged")}
+    assert grades["second"] == "symbol" and grades["loads"] == "symbol" and grades["named"] == "heuristic"
+
+
+def test_different_verdicts_at_one_place_are_both_kept(spark):
+    from factloom.operators import dedup
+
+    key = ["form_key", "line", "persists"]
+    rows = spark.createDataFrame([("f", 1, "yes", False, True, 0.9), ("f", 1, "no", False, False, 0.7), ("f", 1, "yes", True, False, 0.8)], "form_key string, line int, persists string, s boolean, h boolean, confidence double")
+    found = dedup.keep_first(rows, key, ["confidence"], F.col("s"), F.col("h")).collect()
+    assert {(r["persists"], r["edge_source"]) for r in found} == {("yes", "mixed"), ("no", "local")}
