@@ -274,7 +274,8 @@ def field_accesses(parsed: DataFrame, meta: dict[str, DataFrame], edges: DataFra
     reach = reach.withColumn("path", named)
     sinks = facts(parsed, "methods").where("sink").select(node("class_fqn", "name").alias("node")).distinct().withColumn("sink", F.lit(True))
     sunk = reach.join(sinks, "node").select("start").distinct().withColumn("sinks", F.lit(True))
-    leaks = edges.where("target_fqn is null and kind = 'invocation' and receiver not in ('', 'this')").select(node("caller_fqn", "caller_method").alias("node")).distinct()
+    # a call on a plain variable is none, a call on what another call or a member gives may be
+    leaks = edges.where("target_fqn is null and kind <> 'constructor' and instr(receiver, '.') > 0").select(node("caller_fqn", "caller_method").alias("node")).distinct()
     leaky = reach.join(leaks, "node").select("start").distinct().withColumn("leaks", F.lit(True))
     home = meta["plugin"].groupBy(F.col("class_name").alias("plugin_fqn")).agg(
         F.when(F.min("form_key") == F.max("form_key"), F.min("form_key")).alias("home_form"), F.min("plugin_type").alias("plugin_type"),

@@ -236,7 +236,12 @@ def app_key(path: str) -> str | None:
 
 def read_models(spark: SparkSession, root: str, glob: str = "*.{dym,cr,zip}") -> DataFrame:
     """Models of all documents below a folder, or of one file."""
-    schema = spark.createDataFrame([], MODELS).schema
+    return models_of(binary_files(spark, root, glob, excluded=["\0"]))
+
+
+def models_of(files: DataFrame) -> DataFrame:
+    """Models of documents and packages (relpath, content)."""
+    schema = files.sparkSession.createDataFrame([], MODELS).schema
     arrow = to_arrow_schema(schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +258,7 @@ def read_models(spark: SparkSession, root: str, glob: str = "*.{dym,cr,zip}") ->
                     rows.append(row)
                 yield from pa.Table.from_pylist(rows, arrow).to_batches()
 
-    return binary_files(spark, root, glob, excluded=["\0"]).select("relpath", "content").mapInArrow(read, schema)
+    return files.select("relpath", "content").mapInArrow(read, schema)
 
 
 # operators over models
