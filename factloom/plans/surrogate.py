@@ -2,10 +2,7 @@
 
 The tables are not code and metadata, so each query maps columns of theirs onto
 the roles of an operator; the operators are those that the knowledge-base plans
-use. Not every query takes all rows: ``cooccur_intersection`` resolves one order
-in five, the extension side of ``vendor_merge`` is one order in seven and one in
-997, and ``reverse_bfs`` and ``entry_chain_terminals`` take lineitems of a
-quantity of 49 or more, with keys folded to 400 nodes.
+use, and every query runs over whole tables.
 """
 
 from __future__ import annotations
@@ -170,27 +167,27 @@ def bridge_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH k AS (SELECT o_orderkey, l_partkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 5 = 0),
+WITH k AS (SELECT o_orderkey, l_partkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
 c AS (SELECT DISTINCT o_orderkey, l_partkey, s_nationkey FROM k JOIN supplier ON s_suppkey = l_suppkey),
 n AS (SELECT o_orderkey, count(DISTINCT l_partkey) AS needed FROM c GROUP BY 1),
 s AS (SELECT o_orderkey, s_nationkey, count(*) AS has FROM c GROUP BY ALL)
 SELECT o_orderkey, min(s_nationkey) AS s_nationkey FROM s JOIN n USING (o_orderkey) WHERE has = needed GROUP BY o_orderkey HAVING count(*) = 1""")
 def cooccur_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations that could have supplied every part of an order, if exactly one is left."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_suppkey")
     candidates = lines.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return resolve.only_candidate(candidates, ["o_orderkey"], "s_nationkey", "l_partkey")
 
 
 @query("""
-WITH e AS (SELECT o_custkey AS id, max(o_totalprice) AS bal FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1
-  UNION ALL SELECT o_orderkey + 100000000, o_totalprice FROM (SELECT o_orderkey, max(o_totalprice) AS o_totalprice FROM orders WHERE o_orderkey % 997 = 0 GROUP BY 1))
+WITH e AS (SELECT o_custkey AS id, max(o_totalprice) AS bal FROM orders WHERE o_orderstatus = 'F' GROUP BY 1
+  UNION ALL SELECT o_orderkey + 100000000, o_totalprice FROM (SELECT o_orderkey, max(o_totalprice) AS o_totalprice FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1))
 SELECT id, bal, 0 AS side FROM e UNION ALL SELECT c_custkey, c_acctbal, 1 FROM customer WHERE c_custkey NOT IN (SELECT id FROM e)""")
 def vendor_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per key of two sides; the extension's wins over the vendor's."""
     orders = table(spark, sf_dir, "orders")
-    changed = orders.where("o_orderkey % 7 = 0").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("bal"))
-    added = orders.where("o_orderkey % 997 = 0").groupBy((F.col("o_orderkey") + 100000000).alias("id")).agg(F.max("o_totalprice").alias("bal"))
+    changed = orders.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("bal"))
+    added = orders.where("o_orderstatus <> 'F'").groupBy((F.col("o_orderkey") + 100000000).alias("id")).agg(F.max("o_totalprice").alias("bal"))
     vendor = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("bal"))
     return resolve.merge_by_priority([changed.union(added), vendor], ["id"])
 
@@ -202,10 +199,10 @@ SELECT c_custkey, p, 'template' FROM t WHERE (c_custkey, p) NOT IN (SELECT o_cus
 def template_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer has its own priorities and those of the template that it lacks."""
     own = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority").distinct()
-    names = F.array_sort(F.collect_set("o_orderpriority"))
-    listed = own.agg(names.alias("names"))
-    template = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.lit(1).alias("one"))
-    template = template.join(F.broadcast(listed.withColumn("one", F.lit(1))), "one").select("o_custkey", F.explode("names").alias("o_orderpriority"))
+    # all customers have the one template; its members are joined by its number
+    members = own.select(F.lit(1).alias("template"), "o_orderpriority").distinct()
+    template = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.lit(1).alias("template"))
+    template = template.join(members, "template").drop("template")
     return resolve.complete_from_template(own, template, ["o_custkey"], "o_orderpriority")
 
 
@@ -412,12 +409,18 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(name("l_partkey").alias("caller"), name("l_orderkey").alias("target"), "*")
 
 
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts call the orders that hold them; numbers that are both a part's and an order's are one node."""
+    name = lambda c: F.concat(F.lit("m"), F.col(c).cast("string"))
+    return table(spark, sf_dir, "lineitem").select(name("l_partkey").alias("caller"), name("l_orderkey").alias("target"), "*")
+
+
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT 'm' || l_partkey % 400 AS caller, 'm' || l_orderkey % 400 AS target FROM lineitem WHERE l_quantity >= 49 AND l_partkey % 400 <> l_orderkey % 400),
+WITH RECURSIVE e AS (SELECT DISTINCT 'm' || l_partkey AS caller, 'm' || l_orderkey AS target FROM lineitem WHERE l_partkey <> l_orderkey),
 b AS (SELECT 'm7' AS node, 0 AS depth UNION SELECT caller, depth + 1 FROM b JOIN e ON target = node WHERE depth < 10)
 SELECT node, min(depth) AS depth FROM b GROUP BY node""")
 def reverse_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.callers_of(_edges(spark, sf_dir).where("l_quantity >= 49"), "caller", "target", "m7", 10)
+    return graph.callers_of(_calls(spark, sf_dir), "caller", "target", "m7", 10)
 
 
 @query("""
@@ -431,7 +434,12 @@ def base_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.closure_to_bases(parents, "node", "up", bases, 40)
 
 
-@query(None)
+@query("""
+WITH RECURSIVE s AS (SELECT 8 AS k, (SELECT list(p_partkey % 3 ORDER BY i) FROM range(8) r(i) LEFT JOIN part ON p_partkey = i) AS v, list_transform(range(8), lambda i: 0) AS d
+  UNION ALL SELECT k + 1, list_append(v, CASE WHEN k < 40 OR v[k // 2 + 1] = v[k // 2 - k % 5 + 1] THEN v[k // 2 + 1] END),
+    list_append(d, CASE WHEN k < 40 THEN d[k // 2 + 1] ELSE greatest(d[k // 2 + 1], d[k // 2 - k % 5 + 1]) END + 1) FROM s WHERE k <= (SELECT max(p_partkey) FROM part)),
+last AS (SELECT v, d FROM s ORDER BY k DESC LIMIT 1), flat AS (SELECT unnest(range(len(v))) AS node, unnest(v) AS value, unnest(d) AS depth FROM last)
+SELECT node, value, CAST(depth AS INTEGER) AS depth FROM flat WHERE value IS NOT NULL""")
 def reverse_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Callers of part k are k/2, and k/2 - k%5 from 40 on; parts below 8 are seeds."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
@@ -443,7 +451,7 @@ def reverse_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def entry_chain_terminals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _edges(spark, sf_dir).where("l_quantity >= 49").select(
+    edges = _calls(spark, sf_dir).select(
         "caller", "target", (F.col("l_quantity") / 50).alias("confidence"), (F.col("l_tax") > 0.04).alias("heuristic"), "l_orderkey", "l_linenumber", "l_suppkey"
     )
     edges = graph.representative_edges(edges, ["caller"], ["target"], "confidence", ["l_orderkey", "l_linenumber", "l_suppkey"])
@@ -520,8 +528,9 @@ e AS (SELECT prefix, min(lang) AS lang FROM x WHERE page_id % 2 = 0 GROUP BY pre
 j AS (SELECT x.page_id, e.lang, row_number() OVER (PARTITION BY x.page_id ORDER BY CASE WHEN e.lang IS NULL THEN -1 ELSE length(x.prefix) END DESC) AS k FROM x LEFT JOIN e USING (prefix) WHERE page_id % 2 = 1)
 SELECT page_id, lang FROM j WHERE k = 1""")
 def longest_prefix_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.split(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", ""), "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(path)), lambda i: F.array_join(F.slice(path, 1, i), "/"))
+    # a path as a dotted name; its own dots stand aside
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    prefixes = text.package_prefixes(F.translate(path, "./", "\1."))
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("lang"), prefixes.alias("prefixes"))
     return aggregate.owner_by_longest_prefix(pages.where("page_id % 2 = 0"), pages.where("page_id % 2 = 1"), "prefixes", "lang", "page_id")
 

@@ -12,8 +12,12 @@ STRONG_ZERO = 0.95
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """The log; lines that are no JSON object are kept as events of kind ``malformed``."""
-    lines = spark.read.text(path).where("trim(value) <> ''")
-    parsed = lines.select(F.from_json("value", EVENTS, {"mode": "PERMISSIVE"}).alias("e"))
+    return events_of(spark.read.text(path))
+
+
+def events_of(lines: DataFrame) -> DataFrame:
+    """Events of a log's lines (column ``value``)."""
+    parsed = lines.where("trim(value) <> ''").select(F.from_json("value", EVENTS, {"mode": "PERMISSIVE"}).alias("e"))
     return parsed.select("e.*").withColumn("event", F.coalesce("event", F.lit("malformed")))
 
 
