@@ -64,6 +64,8 @@ NEAR_HUB = AT_HUB + AGREE - WIDTH
 BLOCK_SETS, BLOCK_SHINGLES, HUBS = 128, 1_000_000, 4
 #: Ids of groups that are broadcast to pick their texts, and bytes of a text that are hashed at once.
 BROADCAST_IDS, PIECE = 1_000_000, 1 << 20
+#: Rows of a task that compares summaries, and texts of one that compares full sets.
+TASK_ROWS, TASK_TEXTS = 50_000, 4_000
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**64, 256, np.uint64, endpoint=False)
@@ -266,6 +268,7 @@ def counted_links(nodes: DataFrame, count: int) -> tuple[DataFrame, int]:
     for more in small[1:]:
         pairs = pairs.union(more)
     pairs = pairs.join(nodes.select("id", "tokens"), "id").repartition("node").sortWithinPartitions("node")
+    pairs = pairs.coalesce(max(1, -(-TREES * count // TASK_ROWS)))
     links.append(pairs.mapInArrow(_compare_small, "a long, b long"))
     found = links[0]
     for more in links[1:]:
@@ -320,13 +323,14 @@ def texts_of(ids: DataFrame, count: int, docs: DataFrame) -> DataFrame:
     return written(texts.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "id", "left_semi"), "texts")
 
 
-def _confirmed(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Solve blocks: rows (grp, block, id, hub, known, side, print) with their texts."""
+def _confirmed(rows: DataFrame, count: int, texts: DataFrame) -> DataFrame:
+    """Solve blocks: about ``count`` rows (grp, block, id, hub, known, side, print) with their texts."""
     return (
         rows.join(texts, "id")
         .select("grp", "block", "id", "hub", "known", "side", "print", "text")
         .repartition("grp", "block")
         .sortWithinPartitions("grp", "block")
+        .coalesce(max(1, -(-count // TASK_TEXTS)))
         .mapInArrow(_solve_blocks, "a long, b long")
     )
 
@@ -351,7 +355,7 @@ def confirmed_links(candidates: DataFrame, count: int, nodes: DataFrame, docs: D
         hubs.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", F.lit(True))
     )
     rows = rows.groupBy("grp", "block", "id").agg(F.max("hub").alias("hub"))
-    first = written(_confirmed(rows.withColumns({"known": F.col("id"), "side": F.lit(1)}).join(prints, "id"), texts), "confirmed")
+    first = written(_confirmed(rows.withColumns({"known": F.col("id"), "side": F.lit(1)}).join(prints, "id"), count, texts), "confirmed")
 
     several = groups.where("blocks > 1")
     if several.isEmpty():
@@ -379,7 +383,8 @@ def confirmed_links(candidates: DataFrame, count: int, nodes: DataFrame, docs: D
         F.lit(0).alias("side"),
     )
     rows = queries.union(everything).groupBy("grp", "block", "id").agg(F.max("known").alias("known"), F.max("side").alias("side"))
-    second = written(_confirmed(rows.withColumn("hub", F.lit(False)).join(prints, "id"), texts), "confirmed")
+    rows, count = written_counted(rows, "rows", (BLOCK_SETS + 1) * count)
+    second = written(_confirmed(rows.withColumn("hub", F.lit(False)).join(prints, "id"), count, texts), "confirmed")
     return first.union(second)
 
 
@@ -410,10 +415,20 @@ def label_documents(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept; rows that repeat an id and its text are one."""
+    """The rows of ``docs`` that are kept; rows that repeat an id and its text are one. The
+    rows to drop are found by id and text; up to ``BROADCAST_IDS`` of them are broadcast, so
+    that no text moves, but those of repeated rows."""
     key = "neardup__key"
     while key in docs.columns:
         key += "_"
-    dropped = label_documents(docs).where(~F.col("kept")).select("doc_id", F.col("text_key").alias(key)).distinct()
+    keys = [F.col("doc_id").alias(f"{key}_id"), F.col("text_key").alias(f"{key}_text")]
+    labels = label_documents(docs).groupBy(*keys).agg(F.min("kept").alias("kept"), F.count("*").alias("rows"))
+    odd, count = written_counted(labels.where("not kept or rows > 1"), "dropped")
+    some = F.broadcast if count <= BROADCAST_IDS else lambda df: df
     keyed = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
-    return keyed.join(dropped, ["doc_id", key], "left_anti").dropDuplicates(["doc_id", key]).drop(key)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{key}_id")) & (F.col(key) == F.col(f"{key}_text"))
+    kept = keyed.join(some(odd), same, "left_anti")
+    twice = odd.where("kept and rows > 1")
+    if not twice.isEmpty():
+        kept = kept.union(keyed.join(some(twice), same, "left_semi").dropDuplicates(["doc_id", key]))
+    return kept.drop(key)

@@ -56,7 +56,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Bytes of parts and their paths that are remembered in a worker, and as many before them; pairs of pieces likewise.
-REMEMBERED_BYTES, REMEMBERED_PAIRS = 64_000_000, 1_000_000
+REMEMBERED_BYTES, REMEMBERED_PAIRS = 32_000_000, 500_000
 #: Penalty of an unknown character below the least score of a unigram model.
 UNKNOWN_PENALTY = 10.0
 INFINITE = float("inf")
