@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 
 from factloom.plans import build, knowledge
 from factloom.sources import formxml, scan, store, symbols
+from factloom.tools import Tools, serve
 from factloom.web import server
 
 
@@ -40,6 +41,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     sub.add_parser("resolve").add_argument("keys", nargs="+")
     for name in ("coverage", "scan-compare", "dynwrites", "overview", "map", "forms"):
         sub.add_parser(name)
+    sub.add_parser("tools")
     sub.add_parser("web").add_argument("--port", type=int, default=8765)
     args = parser.parse_args(argv)
     spark = spark or SparkSession.builder.appName("factloom").getOrCreate()
@@ -58,6 +60,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 2
     if args.command == "web":
         server(kb, args.port).serve_forever()
+    if args.command == "tools":
+        serve(Tools(kb), sys.stdin, sys.stdout)
+        return 0
     ask = {
         "trace": lambda: knowledge.trace_field(kb, args.key, cursor=args.cursor), "operation": lambda: knowledge.trace_operation(kb, args.key),
         "callers": lambda: knowledge.callers(kb, args.key, args.cursor), "bill": lambda: knowledge.bill(kb, args.key), "search": lambda: knowledge.search(kb, args.key),

@@ -109,17 +109,35 @@ def trace_field(kb: KnowledgeBase, locator: str, access: str | None = None, curs
     dynamic = dynamic_candidates(kb, form)
     order = [*rank.access_order("access", "persists", "confidence", "plugin_fqn"), F.col("source_relpath"), F.col("line"), F.col("event_method"), F.col("access_method"), F.col("via")]
     unlocated = aggregate.worklist(rows.where("bucket = 'unlocated'"), ["access_class", "access_method"], is_write, "null_reason", classify_reasons(), ["source_relpath", "line"], 3)
+    methods = found.where("access_method is not null").groupBy("access_class", "access_method").count()
+    by_name = [F.col("access_class"), F.col("access_method")]
+    sections: dict[str, tuple[DataFrame, list[Column]]] = {
+        "exact": (found, order), "writers": (by_class, [F.col("access_class")]), "readers": (readers, [F.col("access_class")]), "unlocated": (unlocated, by_name),
+        "groups": (groups, [F.desc("located"), F.desc("writers"), F.col("form_key"), F.col("level"), F.col("entry_key")]), "dynamic_candidates": (dynamic, by_name),
+        "coarse_blind_spots": (blind, [F.col("field_key")]), "entries": (methods, [F.desc("count"), *by_name]),
+    }
+    section, offset = rank.parse_cursor(cursor)
+    if cursor and section not in sections:
+        return {"error": f"no section {section!r}", "sections": sorted(sections)}
+    if section and section != "exact":
+        # a page of one section only
+        rows_, size = sections[section], 3 if section == "entries" else PAGE
+        page = paged(rows_[0], rows_[1], section, cursor, size)
+        answer = {"field": at["field"], "form": form, "section": section, "total": page["total"], "items": entry_items(kb, page["items"], offset) if section == "entries" else page["items"]}
+        answer = within_budget(answer, ["items"])
+        return answer | {"pagination": rank.pagination(page["total"], offset, max(1, len(answer["items"])), section)}
     page = paged(found, order, "exact", cursor)
+    listed = {n: rows_of(df.orderBy(*by).limit(CAP)) for n, (df, by) in sections.items() if n not in ("exact", "entries")}
     answer = {
-        "pagination": {k: page[k] for k in ("complete", "next_cursor", "pending")},
-        "field": at["field"], "form": form, "occurrences": occurrences, "summary": counts(rows, "bucket", "access"), "persists": counts(found.where(is_write), "persists"),
-        "total": page["total"], "accesses": page["items"], "groups": rows_of(groups.orderBy(F.desc("located"), F.desc("writers"), "form_key", "level", "entry_key").limit(CAP)),
-        "writers": rows_of(by_class.orderBy("access_class").limit(CAP)), "readers": rows_of(readers.orderBy("access_class").limit(CAP)),
-        "unlocated": rows_of(unlocated.orderBy("access_class", "access_method").limit(CAP)), "coarse_blind_spots": rows_of(blind),
-        "dynamic_candidates": rows_of(dynamic.orderBy("access_class", "access_method").limit(CAP)), "entries": entries_of(kb, found, CAP),
-        "convert_context": converts(kb, form) if form else None,
+        "field": at["field"], "form": form, "access": access or "all", "occurrences": occurrences, "summary": counts(rows, "bucket", "access"), "persists": counts(found.where(is_write), "persists"),
+        "total": page["total"], "accesses": page["items"], **listed, "entries": entries_of(kb, found, CAP), "convert_context": converts(kb, form) if form else None,
     }
-    return within_budget(answer, ["unlocated", "readers", "writers", "dynamic_candidates", "groups", "entries"])
+    answer = within_budget(answer, ["unlocated", "readers", "writers", "dynamic_candidates", "groups", "entries", "accesses"])
+    # cursors begin where the lists, as they are now, end
+    answer["pagination"] = rank.pagination(page["total"], offset, max(1, len(answer["accesses"])), "exact")
+    totals = {n: df.count() for n, (df, _) in sections.items() if n != "exact"}
+    answer["sections"] = {n: {"total": t, **rank.pagination(t, 0, len(answer[n]), n)} for n, t in totals.items()}
+    return answer
 
 
 def classify_reasons() -> list[str]:
@@ -156,10 +174,14 @@ def converts(kb: KnowledgeBase, form: str) -> dict:
 def entries_of(kb: KnowledgeBase, found: DataFrame, cap: int) -> list[dict]:
     """The entry chains of the physical methods that hold accesses, one for each method."""
     methods = found.where("access_method is not null").groupBy("access_class", "access_method").count().orderBy(F.desc("count"), "access_class", "access_method").limit(3)
+    return entry_items(kb, rows_of(methods), 0)[:cap]
+
+
+def entry_items(kb: KnowledgeBase, methods: list[dict], offset: int) -> list[dict]:
     return [
         {"ref": f"ec{i}", "class": r["access_class"], "method": r["access_method"], **chains(kb, r["access_class"], r["access_method"], max_chains=2)}
-        for i, r in enumerate(methods.collect(), 1)
-    ][:cap]
+        for i, r in enumerate(methods, offset + 1)
+    ]
 
 
 # calls
