@@ -95,3 +95,58 @@ def test_one_wide_cell_does_not_multiply_the_output():
 def test_a_column_named_like_the_added_one_is_replaced(spark):
     found = with_text(spark.createDataFrame([(1, "<p>a", "x")], f"page_id long, html string, {TEXT} string")).collect()
     assert [r[TEXT] for r in found] == ["a"]
+
+
+def page_and_text(seed):
+    """A page of flat blocks, and its text by the plain rules of each block."""
+    import random
+
+    rng = random.Random(seed)
+    words = lambda n: " ".join(rng.choices(["alpha", "be", "gamma", "x"], k=rng.randint(1, n)))
+    source, out = [], []  # (gap before, lines, gap after)
+    for _ in range(rng.randint(1, 8)):
+        kind = rng.choice(["p", "h2", "div", "ul", "ol", "table", "pre", "blockquote", "hidden"])
+        if kind in ("p", "h2"):
+            text = words(5)
+            source.append(f"<{kind}>{text}</{kind}>")
+            out.append((1, [text], 1))
+        elif kind == "div":
+            text = words(5)
+            source.append(f"<div>{text}</div>")
+            out.append((0, [text], 0))
+        elif kind in ("ul", "ol"):
+            items = [words(3) for _ in range(rng.randint(1, 12))]
+            source.append(f"<{kind}>" + "".join(f"<li>{x}" for x in items) + f"</{kind}>")
+            marks = ["* " if kind == "ul" else f"{i}. " for i in range(1, len(items) + 1)]
+            out.append((1, [m.rjust(4) + x for m, x in zip(marks, items, strict=True)], 1))
+        elif kind == "table":
+            columns = rng.randint(1, 4)
+            cells = [[words(4) for _ in range(columns)] for _ in range(rng.randint(1, 4))]
+            source.append("<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in row) for row in cells) + "</table>")
+            widths = [max(len(row[i]) for row in cells) for i in range(columns)]
+            out.append((1, ["  ".join(c.ljust(w) for c, w in zip(row, widths, strict=True)).rstrip() for row in cells], 1))
+        elif kind == "pre":
+            lines = [words(2), "  " + words(2)]
+            source.append("<pre>" + "\n".join(lines) + "</pre>")
+            out.append((1, lines, 1))
+        elif kind == "blockquote":
+            text = words(4)
+            source.append(f"<blockquote>{text}</blockquote>")
+            out.append((1, ["    " + text], 1))
+        else:
+            source.append("<p hidden>no</p><script>no</script>")
+    lines, gap = [], 0
+    for before, block, after in out:
+        lines += [""] * (max(gap, before) if lines else 0) + block
+        gap = after
+    return "\n".join(source), "\n".join(lines)
+
+
+def test_query_equals_the_plain_rules(spark, tmp_path):
+    from factloom.llm.queries import op8_html_layout
+
+    pages = {i: page_and_text(i) for i in range(400)}
+    rows = [(i, "u", source) for i, (source, _) in pages.items()]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    for r in op8_html_layout(spark, str(tmp_path)).collect():
+        assert r["text"] == pages[r["page_id"]][1] and r["n_chars"] == len(r["text"]), pages[r["page_id"]][0]

@@ -66,3 +66,36 @@ def test_empty_table_and_long_text(spark):
 def test_held_out_accuracy(spark):
     found = langid.identify(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).where("held_out").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in found) >= 0.95 * len(found)
+
+
+def naive_profile(counts):
+    """The most frequent n-grams: by falling count, shorter ones first, then by letters (word borders first)."""
+    key = lambda g: (-counts[g], len(g), [0 if c == "_" else ord(c) for c in g])
+    return sorted(counts, key=key)[: langid.TOP]
+
+
+def test_predictions_of_the_query_equal_brute_force(spark):
+    from factloom.llm.queries import op7_language_id
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang").collect()
+    totals = {}
+    for r in docs:
+        if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            for g, n in naive_grams(r["text"]).items():
+                mine = totals.setdefault(r["lang"], {})
+                mine[g] = mine.get(g, 0) + n
+    profiles = {lang: {g: i for i, g in enumerate(naive_profile(c))} for lang, c in totals.items()}
+    want = {}
+    for r in docs:
+        own = naive_profile(naive_grams(r["text"] or ""))
+        if not own:
+            want[r["doc_id"]] = ("und", 0.0)
+            continue
+        apart = {lang: sum(abs(i - p[g]) if g in p else langid.TOP for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(apart), key=apart.get)
+        want[r["doc_id"]] = (best, 1 - apart[best] / (langid.TOP * len(own)))
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in op7_language_id(spark, folder).collect()}
+    assert found.keys() == want.keys()
+    for doc, (lang, score) in want.items():
+        assert found[doc][0] == lang and abs(found[doc][1] - score) < 1e-12
