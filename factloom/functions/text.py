@@ -96,7 +96,10 @@ def folded(texts: pd.Series) -> pd.Series:
 
 
 def search_tokens(text: Column) -> Column:
-    """Tokens of a folded text: runs of letters and digits."""
-    return F.array_remove(F.split(folded(text), r"[^\p{L}\p{N}]+"), "")
+    """Tokens of a folded text: runs of letters and digits. Plain ASCII is folded natively;
+    only texts with other characters go to Python."""
+    plain = ~text.rlike(r"[^\x00-\x7F]")
+    low = F.when(plain, F.lower(text)).otherwise(folded(F.when(~plain, text)))
+    return F.array_remove(F.split(low, r"[^\p{L}\p{N}]+"), "")
 
 

@@ -39,6 +39,13 @@ def hot(rows: DataFrame, key: str, user: str, persisting: Column, k: int) -> Dat
     return found.orderBy(F.desc("users"), key).limit(k)
 
 
+def touches(rows: DataFrame, key: str, user: str, users: dict[str, Column], counts: dict[str, Column] | None = None) -> DataFrame:
+    """What touches each key, in one aggregation: distinct users for which a condition holds,
+    and rows for which one does, by name."""
+    distinct = [F.count_distinct(F.when(c, F.col(user))).alias(n) for n, c in users.items()]
+    return rows.groupBy(key).agg(*distinct, *(F.count(F.when(c, 1)).alias(n) for n, c in (counts or {}).items()))
+
+
 def merge_sites(rows: DataFrame, group: list[str], order: list[Column], site: Column, cap: int) -> DataFrame:
     """Per group: the first ``cap`` sites as text, the true total and how many are left out."""
     totals = rows.groupBy(*group).agg(F.count("*").alias("total"))

@@ -338,10 +338,10 @@ def bill(kb: KnowledgeBase, form: str) -> dict:
         return {"redirect": own["extends"], "reason": "extension_alias"}
     accesses = kb.table("field_access").where(F.col("form_key") == form)
     is_write = F.col("access") == "write"
-    touches = accesses.groupBy("field_key").agg(
-        F.count_distinct(F.when(is_write, F.col("plugin_fqn"))).alias("writers"), F.count_distinct(F.when(is_write & (F.col("persists") == "yes"), F.col("plugin_fqn"))).alias("persisting"),
-        F.count_distinct(F.when(~is_write, F.col("plugin_fqn"))).alias("readers"), F.array_sort(F.collect_set("event_method")).alias("events"),
-    )
+    users = {"writers": is_write, "persisting": is_write & (F.col("persists") == "yes"), "readers": ~is_write}
+    touches = aggregate.touches(accesses, "field_key", "plugin_fqn", users).join(
+        accesses.groupBy("field_key").agg(F.array_sort(F.collect_set("event_method")).alias("events")), "field_key"
+    )
     fields = kb.table("field").where(F.col("form_key") == form).select("entity_key", F.col("key").alias("field_key"), "name", "kind", "level")
     listed = fields.join(touches, "field_key", "left").fillna(0, ["writers", "persisting", "readers"])
     lanes = kb.table("plugin").where((F.col("form_key") == form) & (F.col("enabled").isNull() | F.col("enabled")))

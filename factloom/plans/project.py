@@ -50,7 +50,7 @@ FORM = (
     "<TextField><Id>B{n}</Id><Key>f{n}_name</Key><FieldName>fname</FieldName></TextField>"
     "<TextField><Id>C{n}</Id><Key>shared_no</Key><FieldName>fno</FieldName><ParentId>L{n}</ParentId></TextField></Items><Operations>"
     "<Operation><Key>audit</Key><OperationType>audit</OperationType><Plugins>{op_plugins}</Plugins></Operation>"
-    "<Operation><Key>save</Key><OperationType>save</OperationType></Operation></Operations></EntityMetadata></DataXml></DesignEntityMeta>"
+    "<Operation><Id>O{n}</Id><Key>save</Key><OperationType>save</OperationType></Operation></Operations></EntityMetadata></DataXml></DesignEntityMeta>"
     "</DesignMetas></DeployMetadata>"
 )
 RULE = (
@@ -434,3 +434,83 @@ def kb_coordinates(spark, kb, parsed, models):
 
     found = kb.table("field_access").where("field_key is not null")
     return aggregate.coordinates(found, ["field_key", "form_key"], F.col("access") == "write", F.col("form_key").isNotNull()).drop("located")
+
+
+# the build itself
+
+
+@query("""SELECT 'form' AS name, count(*) AS n FROM f UNION ALL SELECT 'entity', 2 * count(*) FROM f UNION ALL SELECT 'field', 3 * count(*) FROM f UNION ALL SELECT 'convert_rule', count(*) FROM f
+  UNION ALL SELECT 'plugin', count(*) FROM c WHERE kind IS NOT NULL UNION ALL SELECT 'source_class', count(*) + 1 FROM c UNION ALL SELECT 'field_access', count(*) FROM a""")
+def kb_counts(spark, kb, parsed, models):
+    """What the build says of itself."""
+    wanted = ["form", "entity", "field", "convert_rule", "plugin", "source_class", "field_access"]
+    return rows(spark, [{"name": n, "n": c} for n, c in kb.meta()["counts"].items() if n in wanted], "name string, n long")
+
+
+@query("SELECT form AS key, 'header' AS level FROM f UNION ALL SELECT 'lines' || n, 'entry' FROM f")
+def kb_entity_levels(spark, kb, parsed, models):
+    """Levels of entities."""
+    return build.entity_levels(kb.table("entity"))
+
+
+@query("SELECT fqn AS class_fqn, event AS name FROM c WHERE k % 6 = 0")
+def kb_sinks(spark, kb, parsed, models):
+    """Methods that save."""
+    return facts(parsed, "methods").where("sink").select("class_fqn", "name")
+
+
+@query("""SELECT text, count(*) AS n FROM (SELECT 'f' || n || '_qty' AS text FROM c UNION ALL SELECT form FROM c UNION ALL SELECT 'shared_no' FROM c UNION ALL SELECT 'g' FROM c
+  UNION ALL SELECT 'save' FROM c WHERE k % 6 = 0 UNION ALL SELECT form FROM c WHERE k % 6 = 0 UNION ALL SELECT 'f' || n || '_name' FROM f) GROUP BY text""")
+def kb_literals(spark, kb, parsed, models):
+    """Strings of the sources."""
+    words = parsed.select(F.explode("tokens").alias("t")).select("t.*").where("kind = 'string'")
+    return words.groupBy("text").agg(F.count("*").alias("n"))
+
+
+@query("SELECT fqn AS caller_fqn, 6 AS line, 5 AS col FROM c")
+def kb_columns(spark, kb, parsed, models):
+    """Lines and columns of calls."""
+    return kb.table("call_edge").where("target_method = 'helper'").select("caller_fqn", "line", "col")
+
+
+@query("""SELECT fqn AS caller_fqn, event AS caller_method, 'kd.X' AS target_fqn, 'extra' AS target_method, relpath AS source_relpath, 5 AS line, 'expr' AS resolution FROM c
+  UNION ALL SELECT NULL, NULL, NULL, 'lost', relpath, 99, 'failed' FROM c""")
+def kb_symbol_only(spark, kb, parsed, models):
+    """Sites that only the symbols know; what the reader has too is left out."""
+    calls = facts(parsed, "calls")
+    own = calls.where("name = 'helper'").select("relpath", "line", "col", "name", F.lit("expr").alias("resolution"), "class_fqn")
+    more = own.withColumns({"line": F.lit(5), "name": F.lit("extra")}).unionByName(own.withColumns({"line": F.lit(99), "name": F.lit("lost"), "resolution": F.lit("failed")}))
+    sites = own.unionByName(more).select("relpath", "line", "col", "name", F.lit("invocation").alias("kind"), "resolution", F.lit("kd.X").alias("declaring"), F.lit(None).cast("string").alias("signature"), F.lit("jar").alias("target_kind"))
+    found = build.unmatched_sites(calls, sites, facts(parsed, "methods"))
+    return found.select("caller_fqn", "caller_method", "target_fqn", "target_method", "source_relpath", "line", "resolution")
+
+
+@query("SELECT 'BillFormModel' AS model_type, 'save' AS key, 'save' AS operation_type, 'O' || n AS oid FROM f")
+def kb_templates(spark, kb, parsed, models):
+    """M9: operations that can serve as templates."""
+    return reports.templates(models).select("model_type", "key", "operation_type", "oid")
+
+
+@query("""SELECT form AS key, CASE WHEN n % 2 = 1 AND n % 3 = 0 THEN 'x' || n END AS extended_by FROM f""")
+def kb_vendor_forms(spark, kb, parsed, models):
+    """Own models completed with a vendor's, which name their extensions."""
+    forms = models.where("form_type <> 'convert'")
+    number = F.regexp_extract("key", "([0-9]+)", 1).cast("int")
+    extensions = forms.where(number % 3 == 0).select(F.concat(F.lit("x"), number).alias("key"), F.col("key").alias("extends"))
+    return reports.integrate_vendor(forms.where(number % 2 == 0), forms, extensions).select("key", "extended_by")
+
+
+@query("SELECT form AS key, n % 4 = 0 AS is_extension, CASE WHEN n % 4 = 0 THEN 'base' || n END AS extends FROM f")
+def kb_aliases(spark, kb, parsed, models):
+    """Forms that stand for the form they extend."""
+    number = F.regexp_extract("key", "([0-9]+)", 1).cast("int")
+    extensions = models.where("form_type <> 'convert'").where(number % 4 == 0).select("key", F.concat(F.lit("base"), number).alias("extends"))
+    return build.metadata_tables(models, extensions)["form"].select("key", "is_extension", "extends")
+
+
+@query("""SELECT n_name AS asked, 'docs/' || n_name || '.md' AS path FROM f""")
+def kb_topics(spark, kb, parsed, models):
+    """Documents by their names."""
+    names = [r["name"] for r in kb.table("form").select("name").collect()]
+    topics = {f"docs/{n}.md": n for n in names}
+    return rows(spark, [{"asked": n, "path": knowledge.topic(topics, n)["path"]} for n in names], "asked string, path string")

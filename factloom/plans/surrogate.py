@@ -554,7 +554,7 @@ WITH l AS (SELECT l_orderkey, count(*) AS lines, count(DISTINCT l_suppkey) AS su
 SELECT o_orderkey, o_totalprice, coalesce(lines, 0) AS lines, coalesce(suppliers, 0) AS suppliers, coalesce(returned, 0) AS returned FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
 def bill_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What touches a bill: counts of its lines, decorrelated into one aggregation."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.count("*").alias("lines"), F.count_distinct("l_suppkey").alias("suppliers"), F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("returned")
-    )
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").join(lines, "o_orderkey", "left").fillna(0)
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    any_line = F.lit(True)
+    found = aggregate.touches(lines, "o_orderkey", "l_suppkey", {"suppliers": any_line}, {"lines": any_line, "returned": F.col("l_returnflag") == "R"})
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").join(found, "o_orderkey", "left").fillna(0)

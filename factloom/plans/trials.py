@@ -137,6 +137,15 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("c_custkey", setcmp.rate(F.col("f"), F.col("n")).alias("rate"))
 
 
+@query("""SELECT CAST(doc_id AS VARCHAR) AS relpath, CASE doc_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-16' ELSE 'utf-8-sig' END AS encoding, 1.0::DOUBLE AS confidence, coalesce(text, '') AS text FROM documents""")
+def decoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in several encodings, read as text."""
+    said, kind = F.coalesce("text", F.lit("")), F.col("doc_id") % 3
+    content = F.when(kind == 0, F.encode(said, "UTF-8")).when(kind == 1, F.encode(said, "UTF-16")).otherwise(F.concat(F.unhex(F.lit("EFBBBF")), F.encode(said, "UTF-8")))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("relpath"), F.lit(0).cast("long").alias("size"), content.alias("content"))
+    return scan.decoded(files).select("relpath", "encoding", "confidence", "text")
+
+
 # metadata
 
 

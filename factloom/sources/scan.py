@@ -96,7 +96,12 @@ def binary_files(spark: SparkSession, root: str, glob: str, excluded: list[str]
 
 def scan(spark: SparkSession, root: str, glob: str = "*.java", excluded: list[str] | None = None) -> DataFrame:
     """Source files with their texts; a file that fails has an error, not a missing row."""
-    return binary_files(spark, root, glob, excluded).mapInArrow(_decode, FILES)
+    return decoded(binary_files(spark, root, glob, excluded))
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """Files (relpath, size, content) with their texts."""
+    return files.select("relpath", "size", "content").mapInArrow(_decode, FILES)
 
 
 def skipped(root: str, excluded: list[str] | None = None) -> dict[str, list[str]]:
