@@ -17,7 +17,9 @@ the comparison does it show; equal sets are told by 128-bit digests of all hashe
 3. Candidate groups are cut into blocks of bounded size which are solved on the
    full sets, together with a few hubs of their group. Where a group has several
    blocks, those outside its largest confirmed component are then compared to
-   all of the group, again in blocks.
+   all of the group, again in blocks. Groups close candidate links before these are
+   confirmed, so sets that are half alike in a long chain are one group: its work
+   grows with the number of its sets that end outside its largest component.
 
 A pair at the threshold is missed by all trees with a probability of about
 1e-5 (``TREES`` roots at 0.75 each, and 0.89 for each further descent); pairs
@@ -65,7 +67,7 @@ BLOCK_SETS, BLOCK_SHINGLES, HUBS = 128, 1_000_000, 4
 #: Ids of groups that are broadcast to pick their texts, and bytes of a text that are hashed at once.
 BROADCAST_IDS, PIECE = 1_000_000, 1 << 20
 #: Rows of a task that compares summaries, and texts of one that compares full sets.
-TASK_ROWS, TASK_TEXTS = 50_000, 4_000
+TASK_ROWS, TASK_TEXTS = 50_000, 1_000
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**64, 256, np.uint64, endpoint=False)
@@ -269,11 +271,12 @@ def counted_links(nodes: DataFrame, count: int) -> tuple[DataFrame, int]:
         pairs = pairs.union(more)
     pairs = pairs.join(nodes.select("id", "tokens"), "id").repartition("node").sortWithinPartitions("node")
     pairs = pairs.coalesce(max(1, -(-TREES * count // TASK_ROWS)))
-    links.append(pairs.mapInArrow(_compare_small, "a long, b long"))
-    found = links[0]
-    for more in links[1:]:
-        found = found.union(more)
-    return written_counted(found, "candidates")
+    found, total = written_counted(pairs.mapInArrow(_compare_small, "a long, b long"), "candidates")
+    for more in links:
+        # apart from the others: each is then a stage of even tasks
+        some, n = written_counted(more, "hubs", 2 * TREES * count)
+        found, total = found.union(some), total + n
+    return found, total
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
