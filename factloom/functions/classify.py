@@ -17,6 +17,12 @@ NOTE_DYNAMIC, NOTE_HELPER, NOTE_SOURCE = "note:dynamic-entity", "note:helper-cal
 
 
 def persistence(sink: Column, phase: Column, op_type: Column, leaks: Column) -> Column:
+    """struct(persists, confidence) of ``reasoned_persistence``."""
+    found = reasoned_persistence(sink, phase, op_type, leaks)
+    return F.struct(found["persists"].alias("persists"), found["confidence"].alias("confidence"))
+
+
+def reasoned_persistence(sink: Column, phase: Column, op_type: Column, leaks: Column) -> Column:
     """struct(persists, confidence, reason): whether what an event writes reaches the database,
     and why. ``leaks``: a call of unknown target could have done it."""
 

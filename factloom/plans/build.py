@@ -281,15 +281,15 @@ def field_accesses(parsed: DataFrame, meta: dict[str, DataFrame], edges: DataFra
         F.when(F.min("form_key") == F.max("form_key"), F.min("form_key")).alias("home_form"), F.min("plugin_type").alias("plugin_type"),
         F.min("operation_key").alias("operation_key"),
     )
-    # a plugin of several forms or operations acts for each of them
-    bound = meta["plugin"].select(F.col("class_name").alias("plugin_fqn"), F.col("form_key").alias("home_form"), "plugin_type", "operation_key").distinct()
+    # a plugin of several operations acts for each of them; one of several forms for none of them alone
+    bound = meta["plugin"].select(F.col("class_name").alias("plugin_fqn"), "plugin_type", "operation_key").distinct().join(home.select("plugin_fqn", "home_form"), "plugin_fqn")
     op_types = meta["operation"].groupBy(F.col("form_key").alias("home_form"), F.col("key").alias("operation_key")).agg(F.min("operation_type").alias("op_type"))
     seen = (
         reach.join(entries, "start").join(sunk, "start", "left").join(leaky, "start", "left")
         .join(bound, "plugin_fqn", "left").join(op_types, ["home_form", "operation_key"], "left")
     )
     at = accesses.withColumn("node", node("class_fqn", "method"))
-    verdict = classify.persistence(F.col("sinks"), F.col("event_phase"), F.col("op_type"), F.col("leaks"))
+    verdict = classify.reasoned_persistence(F.col("sinks"), F.col("event_phase"), F.col("op_type"), F.col("leaks"))
     inside = at.join(seen, "node").withColumn("v", verdict)
     covered = inside.select("id").distinct()
     own_sink = at.join(covered, "id", "left_anti").join(sinks, "node", "left")
