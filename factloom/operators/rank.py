@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,11 +104,22 @@ def pages_by_budget(sizes: list[int], budget: int) -> list[int]:
 
 def budget_pages(rows: DataFrame, group: list[str], order: list[str], size: str, budget: int) -> DataFrame:
     """``page`` of each row within its group, filled greedily by ``size``. The running
-    fill depends on all rows before, so a group is walked in order."""
+    fill depends on all rows before, so a group is walked in order; rows stream past, and
+    only the current page's number and fill are kept."""
     schema = T.StructType([*rows.schema.fields, T.StructField("page", T.IntegerType())])
 
-    def walk(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in order])
-        return table.append_column("page", pa.array(pages_by_budget(table.column(size).to_pylist(), budget), pa.int32()))
-
-    return rows.groupBy(*group).applyInArrow(walk, schema)
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, number, used = None, 0, 0
+        for batch in batches:
+            keys = zip(*(batch.column(g).to_pylist() for g in group), strict=True)
+            pages = []
+            for key, more in zip(keys, batch.column(size).to_pylist(), strict=True):
+                if key != current:
+                    current, number, used = key, 0, 0
+                if used and used + more > budget:
+                    number, used = number + 1, 0
+                pages.append(number)
+                used += more
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pages, pa.int32())], names=[*batch.schema.names, "page"])
+
+    return rows.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(walk, schema)
