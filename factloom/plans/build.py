@@ -216,6 +216,31 @@ def parameter_forms(edges: DataFrame, constants: DataFrame) -> DataFrame:
     return found.select(part[0].alias("class_fqn"), part[1].alias("method"), part[2].cast("int").alias("param"), F.col("value").alias("origin"), "depth")
 
 
+def event_parameter_forms(reach: DataFrame, edges: DataFrame, homes: DataFrame, constants: DataFrame) -> DataFrame:
+    """(start, node, param, event_form): forms of parameters as the walk from an event passes
+    them along its path; a parameter that the calls of one step give different forms has none.
+    ``reach`` has (start, node, depth, before: the node before it), ``homes`` (plugin_fqn, home_form)."""
+    sites = edges.where("target_kind = 'project'").select(
+        node("caller_fqn", "caller_method").alias("before"), node("target_fqn", "target_method").alias("node"), F.posexplode("sources").alias("param", "s")
+    )
+    sites = written(with_constant_forms(sites.select("*", "s.form", "s.source", F.col("s.param").alias("from_param")).drop("s"), constants), "sites")
+    own = homes.select("plugin_fqn", "home_form")
+    spark = reach.sparkSession
+    known = found = spark.createDataFrame([], "start string, node string, param int, event_form string")
+    for depth in range(1, EVENT_DEPTH + 1):
+        steps = reach.where(F.col("depth") == depth).select("start", "node", "before")
+        if steps.isEmpty():
+            break
+        passed = known.select("start", F.col("node").alias("before"), F.col("param").alias("from_param"), "event_form")
+        rows = steps.join(sites, ["before", "node"]).join(passed, ["start", "before", "from_param"], "left")
+        rows = rows.withColumn("plugin_fqn", F.substring_index("start", "#", 1)).join(own, "plugin_fqn", "left")
+        value = F.when(F.col("source") == "form", F.col("form")).when(F.col("source") == "own", F.col("home_form")).when(F.col("source") == "param", F.col("event_form"))
+        agreed = rows.groupBy("start", "node", "param").agg(F.count("*").alias("n"), F.count(value).alias("valued"), F.min(value).alias("event_form"), F.max(value).alias("other"))
+        known = written(agreed.where("n = valued and event_form = other").select("start", "node", "param", "event_form"), "contexts")
+        found = found.unionByName(known)
+    return found
+
+
 # accesses
 
 
@@ -265,13 +290,14 @@ def field_accesses(parsed: DataFrame, meta: dict[str, DataFrame], edges: DataFra
         node("caller_fqn", "caller_method").alias("a"), node("target_fqn", "target_method").alias("b"),
         (across & F.col("resolution").isin("expr", "scope")).alias("symbol"), (across & (F.col("resolution") == "heuristic")).alias("heuristic"),
     )
-    reach = graph.walks(steps, entries.select("start").distinct(), EVENT_DEPTH)
+    reach = graph.walks(steps, entries.select("start").distinct(), EVENT_DEPTH).withColumn("before", F.get("path", F.size("path") - 2))
+    bare = reach.select("start", "node", "depth", "before")
     # methods of other classes are named with them
     plugin = F.substring_index("start", "#", 1)
     named = F.transform("path", lambda x: F.when(F.substring_index(x, "#", 1) == plugin, F.substring_index(x, "#", -1)).otherwise(
         F.concat_ws(".", text.last_segment(F.substring_index(x, "#", 1)), F.substring_index(x, "#", -1))
     ))
-    reach = reach.withColumn("path", named)
+    reach = reach.withColumn("path", named).drop("before")
     sinks = facts(parsed, "methods").where("sink").select(node("class_fqn", "name").alias("node")).distinct().withColumn("sink", F.lit(True))
     sunk = reach.join(sinks, "node").select("start").distinct().withColumn("sinks", F.lit(True))
     # a call on a plain variable is none, a call on what another call or a member gives may be
@@ -298,32 +324,35 @@ def field_accesses(parsed: DataFrame, meta: dict[str, DataFrame], edges: DataFra
         F.struct(
             F.when(F.col("sink"), "yes").otherwise("unknown").alias("persists"), F.lit(0.6).alias("confidence"),
             F.when(F.col("sink"), "the method itself saves").otherwise("no analysed event reaches the method; its caller decides").alias("reason"),
-        ).alias("v"), F.array("method").alias("path"), F.lit(False).alias("symbol"), F.lit(False).alias("heuristic"),
+        ).alias("v"), F.array("method").alias("path"), F.lit(False).alias("symbol"), F.lit(False).alias("heuristic"), F.lit(None).cast("string").alias("start"),
     ).join(home.select("plugin_fqn", "home_form", "plugin_type"), "plugin_fqn", "left")
-    columns = [*at.columns, "plugin_fqn", "plugin_type", "event_method", "event_phase", "home_form", "v", "path", "symbol", "heuristic"]
+    columns = [*at.columns, "plugin_fqn", "plugin_type", "event_method", "event_phase", "home_form", "v", "path", "symbol", "heuristic", "start"]
     rows = inside.select(*columns).unionByName(alone.select(*columns))
 
     params = parameter_forms(edges, facts(parsed, "constants")).withColumnRenamed("depth", "param_depth")
     caller_home = home.select(F.concat(F.lit("own:"), "plugin_fqn").alias("origin"), F.col("home_form").alias("caller_form"))
     params = params.join(caller_home, "origin", "left").withColumn("param_form", F.when(F.col("origin").startswith("form:"), F.substring("origin", 6, 1000)).otherwise(F.col("caller_form")))
     rows = rows.join(params.select("class_fqn", "method", "param", "param_form", "param_depth"), ["class_fqn", "method", "param"], "left")
+    rows = rows.join(event_parameter_forms(bare, edges, home, facts(parsed, "constants")), ["start", "node", "param"], "left")
     by_flow = F.when(F.col("source") == "form", F.col("form")).when((F.col("source") == "own"), F.col("home_form"))
     by_param = F.when(F.col("source") == "param", F.col("param_form"))
+    # callers that differ are told apart by the event
+    by_event = F.when((F.col("source") == "param") & F.col("param_form").isNull(), F.col("event_form"))
     cap = F.when(F.col("param_depth") == 1, 0.85).otherwise(0.8)
     note = (
         F.when(F.col("source") == "dynamic", classify.NOTE_DYNAMIC)
-        .when((F.col("source") == "param") & F.col("param_form").isNull(), classify.NOTE_HELPER)
+        .when((F.col("source") == "param") & F.col("param_form").isNull() & F.col("event_form").isNull(), classify.NOTE_HELPER)
         .when(F.col("source").isNull() & (F.col("level") != "basedata"), classify.NOTE_SOURCE)
     )
     writes = F.col("access") == "write"
     located = rows.select(
-        F.coalesce(by_flow, by_param).alias("form_key"), "field_key", "level", F.col("entry").alias("entry_key"), "plugin_fqn", "plugin_type",
+        F.coalesce(by_flow, by_param, by_event).alias("form_key"), "field_key", "level", F.col("entry").alias("entry_key"), "plugin_fqn", "plugin_type",
         F.col("class_fqn").alias("access_class"), F.col("method").alias("access_method"), "event_method", "event_phase", "access",
         F.when(writes, F.col("v.persists")).otherwise("na").alias("persists"), F.when(writes, F.col("v.reason")).alias("persist_reason"), "via", "line",
         "path", "key_resolution",
-        F.least(F.col("confidence"), F.when(writes, F.col("v.confidence")).otherwise(1.0), F.when(by_flow.isNull() & by_param.isNotNull(), cap).otherwise(1.0)).alias("confidence"),
+        F.least(F.col("confidence"), F.when(writes, F.col("v.confidence")).otherwise(1.0), F.when(by_flow.isNull() & by_param.isNotNull(), cap).when(by_event.isNotNull(), 0.85).otherwise(1.0)).alias("confidence"),
         F.col("relpath").alias("source_relpath"), note.alias("evidence"),
-        F.when(by_flow.isNotNull(), "data_flow").when(by_param.isNotNull(), "reverse_callgraph").alias("form_key_source"),
+        F.when(by_flow.isNotNull(), "data_flow").when(by_param.isNotNull(), "reverse_callgraph").when(by_event.isNotNull(), "data_flow").alias("form_key_source"),
         "symbol", F.col("heuristic").alias("guessed"), "receiver",
     )
     return finished(located, meta)

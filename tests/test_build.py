@@ -186,3 +186,29 @@ def test_different_verdicts_at_one_place_are_both_kept(spark):
     rows = spark.createDataFrame([("f", 1, "yes", False, True, 0.9), ("f", 1, "no", False, False, 0.7), ("f", 1, "yes", True, False, 0.8)], "form_key string, line int, persists string, s boolean, h boolean, confidence double")
     found = dedup.keep_first(rows, key, ["confidence"], F.col("s"), F.col("h")).collect()
     assert {(r["persists"], r["edge_source"]) for r in found} == {("yes", "mixed"), ("no", "local")}
+
+
+def test_contexts_that_differ_by_event_are_told_apart(spark, tmp_path):
+    files = {
+        "CardAudit": """package a; public class CardAudit extends AbstractOperationServicePlugIn {
+  public void beginOperationTransaction(BeginOperationTransactionArgs e) { for (DynamicObject d : e.getDataEntities()) { new Helper().outer(d); } }
+}""",
+        "Other": """package a; public class Other extends AbstractFormPlugin {
+  public void propertyChanged(PropertyChangedArgs e) { DynamicObject o = BusinessDataServiceHelper.loadSingle(1, "other_form"); new Helper().outer(o); }
+  public void click(EventObject e) { DynamicObject o = BusinessDataServiceHelper.loadSingle(1, "one_form"); DynamicObject p = BusinessDataServiceHelper.loadSingle(1, "two_form"); new Helper().outer(o); new Helper().outer(p); }
+}""",
+        "Helper": """package a; public class Helper {
+  public void outer(DynamicObject d) { inner(1, d); }
+  private void inner(int x, DynamicObject q) { q.set("zzz", 1); }
+}""",
+    }
+    root = tmp_path / "src"
+    root.mkdir()
+    for name, data in files.items():
+        (root / f"{name}.java").write_text(data)
+    (root / "card.dym").write_text(FORM)
+    build.build(spark, str(tmp_path / "kb"), scan.scan(spark, str(root)), formxml.read_models(spark, str(root)))
+    found = store.open_kb(spark, str(tmp_path / "kb")).table("field_access").where("field_key = 'zzz'").collect()
+    got = {r["event_method"]: (r["form_key"], r["form_key_source"], r["null_reason"], r["path"]) for r in found}
+    assert got["beginOperationTransaction"] == ("acme_card", "data_flow", None, ["beginOperationTransaction", "Helper.outer", "Helper.inner"])
+    assert got["propertyChanged"][:2] == ("other_form", "data_flow") and got["click"][:3] == (None, None, "helper-caller-unknown")
