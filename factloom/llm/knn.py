@@ -174,7 +174,7 @@ BOUNDS = "dim int, cell int, n long, radius double, reach double, towards array<
 
 
 def query_bounds(queries: DataFrame, pivots: Pivots, near: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """BOUNDS of each cell with queries, one row of bounded size."""
+    """BOUNDS of each cell with queries, one row of bounded size for each."""
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, int], list] = {}
@@ -194,25 +194,36 @@ def query_bounds(queries: DataFrame, pivots: Pivots, near: dict[int, tuple[np.nd
                 towards = (x - points[own]) @ points.T
                 for c in np.unique(own).tolist():
                     at = np.flatnonzero(own == c)
-                    part = [len(at), aparts[rows][at].max(), reach[at].min(), towards[at].max(axis=0)]
-                    if old := found.get((dim, c)):
-                        part = [old[0] + part[0], max(old[1], part[1]), min(old[2], part[2]), np.maximum(old[3], part[3])]
-                    found[dim, c] = part
-        rows = [{"dim": d, "cell": c, "n": v[0], "radius": v[1], "reach": v[2], "towards": v[3].tolist()} for (d, c), v in found.items()]
-        kinds = [("dim", pa.int32()), ("cell", pa.int32()), ("n", pa.int64()), ("radius", pa.float64()), ("reach", pa.float64()), ("towards", pa.list_(pa.float64()))]
-        yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
+                    _widen(found, (dim, c), [len(at), aparts[rows][at].max(), reach[at].min(), towards[at].max(axis=0)])
+        yield _bounds_batch(found)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], list] = {}
+        for batch in pieces(batches):
+            for row in batch.to_pylist():
+                _widen(found, (row["dim"], row["cell"]), [row["n"], row["radius"], row["reach"], np.array(row["towards"])])
+        yield _bounds_batch(found)
+
+    # every task has bounds of its own; those of a cell meet before they go to the driver
+    return queries.mapInArrow(bounds, BOUNDS).repartition("dim", "cell").mapInArrow(merged, BOUNDS)
 
-    return queries.mapInArrow(bounds, BOUNDS)
 
+def _widen(found: dict[tuple[int, int], list], key: tuple[int, int], part: list) -> None:
+    if old := found.get(key):
+        part = [old[0] + part[0], max(old[1], part[1]), min(old[2], part[2]), np.maximum(old[3], part[3])]
+    found[key] = part
 
-def cells_of(bounds: DataFrame, pivots: Pivots) -> dict[int, Cells]:
+
+def _bounds_batch(found: dict[tuple[int, int], list]) -> pa.RecordBatch:
+    rows = [{"dim": d, "cell": c, "n": v[0], "radius": v[1], "reach": v[2], "towards": v[3].tolist()} for (d, c), v in found.items()]
+    kinds = [("dim", pa.int32()), ("cell", pa.int32()), ("n", pa.int64()), ("radius", pa.float64()), ("reach", pa.float64()), ("towards", pa.list_(pa.float64()))]
+    return pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
+
+
+def cells_of(bounds: DataFrame) -> dict[int, Cells]:
     found: dict[int, dict[int, list]] = {}
     for row in bounds.toLocalIterator():
-        mine = found.setdefault(row["dim"], {})
-        part = [row["n"], row["radius"], row["reach"], np.array(row["towards"])]
-        if old := mine.get(row["cell"]):
-            part = [old[0] + part[0], max(old[1], part[1]), min(old[2], part[2]), np.maximum(old[3], part[3])]
-        mine[row["cell"]] = part
+        found.setdefault(row["dim"], {})[row["cell"]] = [row["n"], row["radius"], row["reach"], np.array(row["towards"])]
     out = {}
     for dim, mine in found.items():
         order = sorted(mine)
@@ -300,7 +311,7 @@ def plan(table: DataFrame, queries_every: int = 100) -> Plan:
     data = written(assigned(vectors, pivots), "assigned")
     queries = data.where(F.col("vec_id") % queries_every == 0).groupBy("vec_id").agg(F.min(F.struct("vec", "dim", "cell", "apart")).alias("v"))
     queries = written(queries.select("vec_id", "v.vec", "v.dim", "v.cell", "v.apart"), "queries")
-    cells = cells_of(query_bounds(queries, pivots, summaries(data, queries)), pivots)
+    cells = cells_of(query_bounds(queries, pivots, summaries(data, queries)))
     sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(ESTIMATE_ROWS).select("dim", "vec", "cell", "apart").collect() if cells else []
     for dim, mine in cells.items():
         rows = [r for r in sample if r["dim"] == dim]
@@ -314,7 +325,8 @@ class Best:
     """The K best of a group's queries so far."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors, self.floats = ids, vectors, vectors.astype(np.float64)
+        self.most = float(np.abs(self.floats).max(initial=0))
         self.least = np.full(len(ids), np.iinfo(np.int64).min)
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
@@ -322,13 +334,20 @@ class Best:
     def offer(self, names: np.ndarray, data: np.ndarray) -> None:
         step = max(1, 2_000_000 // max(1, len(self.ids)))
         for at in range(0, len(names), step):
-            part, scores = names[at : at + step], products(self.vectors, data[at : at + step])
+            part, scores = names[at : at + step], self.scores(data[at : at + step])
             query, row = np.nonzero((scores >= self.least[:, None]) & (part != self.ids[:, None]))
             self.held.append((query, part[row], scores[query, row]))
             self.size += len(query)
             if self.size > 2 * K * len(self.ids) + 100_000:
                 self.shrink()
 
+    def scores(self, data: np.ndarray) -> np.ndarray:
+        """``products`` with the queries, whose floats are made once."""
+        floats = data.astype(np.float64)
+        if data.shape[1] * self.most * float(np.abs(floats).max(initial=0)) < _EXACT:
+            return (self.floats @ floats.T).astype(np.int64)
+        return products(self.vectors, data)
+
     def shrink(self) -> None:
         query, names, scores = (np.concatenate(x) for x in zip(*self.held, strict=True))
         order = np.lexsort((names, ~scores, query))  # ~ turns the order without overflow
