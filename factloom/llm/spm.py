@@ -56,7 +56,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Bytes of parts and their paths that are remembered in a worker, and as many before them; pairs of pieces likewise.
-REMEMBERED_BYTES, REMEMBERED_PAIRS = 32_000_000, 500_000
+REMEMBERED_BYTES, REMEMBERED_PAIRS = 64_000_000, 500_000
 #: Penalty of an unknown character below the least score of a unigram model.
 UNKNOWN_PENALTY = 10.0
 INFINITE = float("inf")
@@ -196,6 +196,7 @@ class Transducer:
         self.old: dict[str, bytes] = {}
         self.held = 0
         self.split: dict[int, tuple[int, ...]] = {}
+        self.splits = {i for i, t in enumerate(self.types) if t == UNUSED} if self.kind == BPE else set()
         self.surface = [self._surface(i) for i in range(len(self.pieces))]
 
     def mapped(self, text: str) -> str:
@@ -219,6 +220,8 @@ class Transducer:
 
     def plain(self, text: str) -> str:
         """What decoding an encoded text gives back, but for leading spaces in models that squeeze them."""
+        if self.map is None and not self.squeeze:
+            return text.replace(MARK, " ") if self.escape else text
         text = self.normalise(text)
         text = text.replace(MARK, " ") if self.escape else text
         return text[1:] if self.prefix and text.startswith(" ") else text
@@ -339,7 +342,7 @@ class Transducer:
 
     def _part(self, text: str) -> bytes:
         path = self.shortest_path(text)
-        if min(path) < 0 or self.kind == BPE and any(self.types[i] == UNUSED for i in path):
+        if min(path) < 0 or self.splits and not self.splits.isdisjoint(path):
             path = [i for code in path for i in self.emits(code)]
         return struct.pack(f"<{len(path)}I", *path)
 
@@ -359,10 +362,11 @@ class Transducer:
         parts = self.parts.findall(text)
         if self.held > REMEMBERED_BYTES:
             self.old, self.young, self.held = self.young, {}, 0
-        young, old = self.young, self.old
+        young, old, size = self.young, self.old, 0
         for part in set(parts).difference(young):
             young[part] = path = old.get(part) or self._part(part)
-            self.held += 200 + 4 * len(part) + len(path)
+            size += 200 + 4 * len(part) + len(path)
+        self.held += size
         return b"".join([young[p] for p in parts])
 
     def _surface(self, i: int) -> bytes:
