@@ -10,21 +10,12 @@ import sys
 from pyspark.sql import SparkSession
 
 from factloom.plans import build, knowledge
+from factloom.render import rendered
 from factloom.sources import formxml, scan, store, symbols
 from factloom.tools import Tools, serve
 from factloom.web import server
 
 
-def text_of(answer: object, depth: int = 0) -> str:
-    """An answer as indented text."""
-    pad = "  " * depth
-    if isinstance(answer, dict):
-        return "\n".join(f"{pad}{k}:" + (f"\n{text_of(v, depth + 1)}" if isinstance(v, dict | list) and v else f" {'-' if v in ([], {}, None) else v}") for k, v in answer.items())
-    if isinstance(answer, list):
-        return "\n".join(f"{pad}- " + (", ".join(f"{k}={v}" for k, v in x.items() if v is not None) if isinstance(x, dict) else str(x)) for x in answer)
-    return f"{pad}{answer}"
-
-
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="factloom")
     parser.add_argument("--kb")
@@ -75,7 +66,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except ValueError as error:
         print(error, file=sys.stderr)
         return 2
-    print(json.dumps(answer, indent=2, default=str) if args.json else text_of(answer))
+    print(json.dumps(answer, indent=2, default=str) if args.json else rendered(args.command, answer))
     if isinstance(answer, dict):
         return 3 if answer.get("need_clarification") else 2 if answer.get("error") else 0
     return 0

@@ -67,3 +67,21 @@ def test_the_server_speaks_the_protocol(kb):  # noqa: F811
     assert [r["id"] for r in replies] == [1, 2, 3, 4, 5, 6, None]
     assert len(replies[1]["result"]["tools"]) == 5 and "amount" in replies[2]["result"]["content"][0]["text"]
     assert replies[3]["result"]["isError"] and all("error" in r for r in replies[4:])
+
+
+def test_answers_as_text(kb, big):  # noqa: F811
+    from factloom.render import RENDERERS, rendered
+
+    answers = {
+        "trace": k.trace_field(kb, "card.status"), "operation": k.trace_operation(kb, "card.save"), "callers": k.callers(kb, "CardService.apply"), "bill": k.bill(kb, "card"),
+        "resolve": k.resolve_keys(kb, ["amount", "none"]), "coverage": k.coverage(kb), "scan-compare": k.scan_compare(kb), "dynwrites": k.dynamic_writes(kb), "overview": k.overview(kb),
+        "map": k.project_map(kb), "forms": k.forms(kb), "search": k.search(kb, "status"), "whois": k.whois(kb, "service"),
+    }
+    said = {n: rendered(n, a) for n, a in answers.items()}
+    assert set(said) == set(RENDERERS) and all(said.values())
+    assert "CardService" in said["trace"] and "41" in said["trace"] and "entry_reachable (confirmed)" in said["callers"] and "Status" in said["bill"]
+    assert rendered("trace", k.trace_field(kb, "amount")).splitlines()[0] == "which one is meant? candidates:" and rendered("bill", k.bill(kb, "zz")).startswith("error: ")
+    assert rendered("trace", k.trace_field(kb, "card_ext.status")).startswith("see card.status")
+    long = rendered("trace", k.trace_field(big, "f.no"))
+    assert "writers (45)" in long and "… " in long and rendered("trace", k.trace_field(big, "f.no", cursor="writers@40")).count("p.W") == 5
+    assert rendered("search", []) == "nothing found"
