@@ -399,7 +399,7 @@ def label_documents(docs: DataFrame) -> DataFrame:
         .groupBy("print")
         .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")),
         "nodes",
-        count,
+        4 * count,  # summaries make these rows four times the usual size
     )
     links = confirmed_links(*counted_links(nodes, count), nodes, docs)
     joined = components(links)
