@@ -12,7 +12,8 @@ the comparison does it show; equal sets are told by 128-bit digests of all hashe
    compared exhaustively on the summaries. A larger one is compared to one of
    its sets, the hub; those at the hub are done, the others branch again, each
    following ``BRANCHES`` tokens that the node's path selects, down to
-   ``DEPTH``; what is still large there is taken as one candidate group.
+   ``DEPTH``; what is still large there is taken as one candidate group. A child
+   of sets that were all linked to the same hub is joined already and is left out.
    Both give candidate groups that may be too large, never too small.
 3. Candidate groups are cut into blocks of bounded size which are solved on the
    full sets, together with a few hubs of their group. Where a group has several
@@ -198,7 +199,8 @@ def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Who is very like the hub leaves the node: what agrees with it in AGREE tokens
     agrees with the hub in NEAR_HUB, since each place where it differs from the
     hub is one where it differs from that set or that set from the hub. So it is
-    linked to the hub, and only pairs that AGREE leaves out are lost here.
+    linked to the hub, and only pairs that AGREE leaves out are lost here. ``far``
+    are those without such a link.
     """
     for batch in batches:
         nodes = batch.column(0).to_numpy().view(np.uint64)
@@ -214,8 +216,8 @@ def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             children.append(mixed(path ^ mixed(tokens[np.arange(len(tokens)), place].astype(np.uint64))))
         child = np.stack(children, axis=1).reshape(-1).view(np.int64)
         node = pa.concat_arrays([pa.array(child), pa.nulls(int(near.sum()), pa.int64())])
-        pairs = [np.concatenate((np.repeat(x[stays], BRANCHES), x[near])) for x in (ids, hubs)]
-        yield pa.RecordBatch.from_arrays([node, *map(pa.array, pairs)], names=["node", "id", "hub"])
+        added = [np.concatenate((np.repeat(x[stays], BRANCHES), x[near])) for x in (ids, hubs, ~near)]
+        yield pa.RecordBatch.from_arrays([node, *map(pa.array, added)], names=["node", "id", "hub", "far"])
 
 
 def _compare_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,15 +245,16 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
 
 def counted_links(nodes: DataFrame, count: int) -> tuple[DataFrame, int]:
     """``candidate_links`` of ``count`` sets, and their number."""
-    keys, rows = nodes.select("id", "tokens").mapInArrow(_roots, "node long, id long"), TREES * count
+    keys, rows = nodes.select("id", "tokens").mapInArrow(_roots, "node long, id long").withColumn("far", F.lit(True)), TREES * count
     links, small = [], []
     for depth in range(1, DEPTH + 1):
         # written before the join: both its sides are then plain exchanges, and a node that
         # holds a large share of the rows can be split among tasks
-        found = keys.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1")
-        sizes = written(found, "sizes", rows // 2)
+        # what is all linked to one hub has nothing left to compare
+        found = keys.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("hub"), F.max("far").alias("far")).where("size > 1 and far")
+        sizes = written(found.drop("far"), "sizes", rows // 2)
         many = Observation()
-        members = written(keys.join(sizes, "node").observe(many, F.count_if(F.col("size") > SMALL).alias("n")), "members", rows)
+        members = written(keys.drop("far").join(sizes, "node").observe(many, F.count_if(F.col("size") > SMALL).alias("n")), "members", rows)
         small.append(members.where(F.col("size") <= SMALL).select("node", "id"))
         large = members.where(F.col("size") > SMALL)
         if not many.get["n"]:
@@ -263,9 +266,9 @@ def counted_links(nodes: DataFrame, count: int) -> tuple[DataFrame, int]:
             hubs = large.select("node", "hub").distinct().join(tokens.withColumnRenamed("id", "hub"), "hub")
             full = large.select("node", "id").join(tokens, "id").join(hubs.withColumnRenamed("tokens", "hub_tokens"), "node")
             full = full.select("node", "id", "hub", "tokens", "hub_tokens")
-            branched, rows = written_counted(full.mapInArrow(_branches, "node long, id long, hub long"), "branched", BRANCHES * many.get["n"])
+            branched, rows = written_counted(full.mapInArrow(_branches, "node long, id long, hub long, far boolean"), "branched", BRANCHES * many.get["n"])
             links.append(branched.where("node is null").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
-            keys = branched.where("node is not null").select("node", "id")
+            keys = branched.where("node is not null").select("node", "id", "far")
     pairs = small[0]
     for more in small[1:]:
         pairs = pairs.union(more)

@@ -150,3 +150,46 @@ def test_columns_named_like_its_own_are_kept(spark):
     rows = [(1, "a b c d e", "k1", "x"), (2, "a b c d e", "k2", "y"), (3, None, "k3", "z")]
     kept = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, neardup__key string, print string"))
     assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
+def test_sets_that_one_hub_joins_branch_once(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", 4)
+    branched, counted = [], neardup.written_counted
+
+    def recorded(df, name, *rest):
+        out = counted(df, name, *rest)
+        branched.extend([out[1]] * (name == "branched"))
+        return out
+
+    monkeypatch.setattr(neardup, "written_counted", recorded)
+    rng = np.random.default_rng(3)
+    sets = np.tile(np.arange(neardup.WIDTH, dtype=np.uint32), (40, 1))
+    # the roots agree; the others differ from the hub in 20 places, so all branch on
+    for x in range(1, 40):
+        sets[x, rng.choice(np.arange(neardup.TREES, neardup.WIDTH), 20, replace=False)] += np.uint32(1000 * x)
+    rows = [(i, bytearray(x.tobytes())) for i, x in enumerate(sets)]
+    links = neardup.candidate_links(spark.createDataFrame(rows, "id long, tokens binary")).collect()
+    assert {(r["a"], r["b"]) for r in links} >= {(i, 0) for i in range(1, 40)}
+    assert branched == [neardup.TREES * 39 * (neardup.BRANCHES + 1)]
+
+
+def test_children_with_a_set_that_no_hub_joins_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", 4)
+    rng = np.random.default_rng(4)
+    hub = np.arange(neardup.WIDTH, dtype=np.uint32)
+    rows, pairs = [hub], []
+    for x in range(1, 31):
+        # 24 places as the hub's: linked to it; its neighbour has 4 of them less and differs in 4 others: not linked, but alike
+        near = hub + np.uint32(1000 * x)
+        near[: neardup.TREES] = hub[: neardup.TREES]
+        near[rng.choice(np.arange(neardup.TREES, neardup.WIDTH), 24 - neardup.TREES, replace=False)] %= 1000
+        far = near.copy()
+        same = np.flatnonzero(near == hub)
+        far[same[neardup.TREES :][:5]] += np.uint32(500 + 1000 * x)
+        assert (near == hub).sum() >= neardup.NEAR_HUB > (far == hub).sum() and (near == far).sum() >= 59
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [near, far]
+    frame = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(rows)], "id long, tokens binary")
+    found = neardup.candidate_links(frame).collect()
+    parent = comp.merge_labels(np.arange(len(rows)), np.array([r["a"] for r in found]), np.array([r["b"] for r in found]))
+    assert all(parent[a] == parent[b] for a, b in pairs)
