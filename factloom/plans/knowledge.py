@@ -140,6 +140,20 @@ def trace_field(kb: KnowledgeBase, locator: str, access: str | None = None, curs
     return answer
 
 
+def first_accesses(kb: KnowledgeBase, locator: str, n: int = PAGE) -> tuple[list[dict], int]:
+    """The first ``n`` exact accesses of a field, and the number of all. An answer that the
+    budget shortened is followed by its cursors."""
+    items, cursor = [], None
+    while True:
+        found = trace_field(kb, locator, cursor=cursor)
+        items += found.get("accesses", [])
+        total, cursor = found.get("total", 0), found.get("pagination", {}).get("next_cursor")
+        if len(items) >= min(n, total):
+            return items[:n], total
+        if not found["accesses"]:
+            raise ValueError(f"no access of {locator!r} fits an answer")
+
+
 def classify_reasons() -> list[str]:
     from factloom.schema import VOCABULARIES
 

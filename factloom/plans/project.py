@@ -346,8 +346,8 @@ def kb_bridge_summary(spark, kb, parsed, models):
     CASE WHEN persists = 'yes' AND k % 6 = 0 THEN 0.85 WHEN persists = 'yes' THEN 0.9 WHEN persists = 'no' THEN 0.7 ELSE 0.6 END DESC, fqn) AS p FROM a WHERE field = 'f3_qty') WHERE p <= 40""")
 def kb_trace_field(spark, kb, parsed, models):
     """The first page of who writes a field."""
-    found = knowledge.trace_field(kb, "form3.f3_qty")
-    return rows(spark, [x | {"total": found["total"]} for x in found["accesses"]], "access string, persists string, access_class string, line int, total long")
+    found, total = knowledge.first_accesses(kb, "form3.f3_qty")
+    return rows(spark, [x | {"total": total} for x in found], "access string, persists string, access_class string, line int, total long")
 
 
 @query("""SELECT 'exact' AS reason, count(*) AS n FROM c WHERE k % 6 = 0 AND n = (SELECT n FROM c WHERE k = 6)""")

@@ -144,3 +144,15 @@ def test_read_source_counts_all_keys_left_out(kb):
     whole = k.read_source(kb, "CardService.java", text)
     capped = k.read_source(kb, "CardService.java", text, max_keys=0)
     assert whole["keys_capped"] == 0 and capped["keys"] == [] and capped["keys_capped"] == len(whole["keys"]) > 1
+
+
+def test_first_accesses_are_whole_beyond_the_budget_of_an_answer(spark, kb, tmp_path, monkeypatch):
+    row = {"plugin_type": "op", "access_method": "apply", "event_method": "beginOperationTransaction", "event_phase": "transaction", "via": "object.set", "form_key": "card",
+           "field_key": "status", "level": "header", "access": "write", "persists": "yes", "confidence": 0.85, "key_resolution": "literal", "edge_source": "heuristic", "form_key_source": "data_flow"}
+    names = [f"app.{'long' * 20}.S{i:03}" for i in range(95)]
+    accesses = [{**row, "plugin_fqn": x, "access_class": x, "source_relpath": f"{x}.java", "line": i} for i, x in enumerate(names)]
+    monkeypatch.setattr(kb, "table", lambda name, own=kb.table: frame(spark, name, accesses) if name == "field_access" else own(name))
+    assert len(k.trace_field(kb, "card.status")["accesses"]) < k.PAGE
+    found, total = k.first_accesses(kb, "card.status")
+    assert [x["access_class"] for x in found] == names[: k.PAGE] and total == 95
+    assert k.first_accesses(kb, "contract.amount") == ([], 0)
